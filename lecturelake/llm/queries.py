@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelake.llm import decontaminate, exact_dedup, sharding
+from lecturelake.llm import chat, decontaminate, exact_dedup, pieces, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.query,
+    "op4_url_filters": url_filter.query,
     "op5_sharding": sharding.query,
+    "op7_pieces": pieces.query,
+    "op8_quality": quality.query,
     "op9_decontamination": decontaminate.query,
+    "op10_chat": chat.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
