@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelake.llm import chat, decontaminate, exact_dedup, pieces, quality, sharding, url_filter
+from lecturelake.llm import chat, decontaminate, exact_dedup, near_join, pieces, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.query,
+    "op1_ngram_join": near_join.query,
     "op4_url_filters": url_filter.query,
     "op5_sharding": sharding.query,
     "op7_pieces": pieces.query,
