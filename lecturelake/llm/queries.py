@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelake.llm import chat, decontaminate, exact_dedup, near_join, pieces, quality, sharding, url_filter
+from lecturelake.llm import chat, decontaminate, exact_dedup, near_join, pieces, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.query,
     "op1_ngram_join": near_join.query,
+    "op2_substring_dedup": substring_dedup.query,
     "op4_url_filters": url_filter.query,
     "op5_sharding": sharding.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_pieces": pieces.query,
     "op8_quality": quality.query,
     "op9_decontamination": decontaminate.query,
