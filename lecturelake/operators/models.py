@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
-def score_with_model(make_predict: Callable, return_type, batch_size: int = 64) -> Callable[..., Column]:
-    """A column function from ``make_predict``, which loads a model once a Python worker and returns its batch function."""
-    return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size)
+def score_with_model(make_predict: Callable, return_type: DataType, batch_size: int = 64, shapes: list[list[int]] | None = None) -> Callable[..., Column]:
+    """A column function from ``make_predict``, which loads a model once a Python worker and returns its batch function.
+
+    ``shapes``: the tensor shape of each array column.
+    """
+    return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size, input_tensor_shapes=shapes)
 
 
 def words(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lecturelake.functions import numeric as N
 from lecturelake.operators import answers, models
@@ -100,5 +101,5 @@ def score_with_model(t):
 
         return predict
 
-    score = models.predict_batch_udf(load, return_type="double", batch_size=256, input_tensor_shapes=[[64]])
+    score = models.score_with_model(load, DoubleType(), 256, [[64]])
     return t.embeddings.select("vec_id", F.round(score("embedding"), 4).alias("score"))
