@@ -64,12 +64,18 @@ class RoleModel:
     emit: dict[str, np.ndarray]
     other: np.ndarray
 
+    def emission(self, seen: str) -> np.ndarray:
+        marker = seen.split("|")[0]
+        if marker in self.roles:  # a marker states its role
+            return np.where(np.array(self.roles) == marker, 0.0, math.log(1e-6))
+        return self.emit.get(seen, self.other)
+
     def weights(self, texts: list[str | None], first: bool) -> list[np.ndarray]:
         """For each line a matrix [from][to] of step and emission; the first line of a conversation steps from anything by the start."""
         out = []
         for n, text in enumerate(texts):
             for k, line in enumerate(_lines(text)):
-                e = self.emit.get(symbol(line, k == 0), self.other)
+                e = self.emission(symbol(line, k == 0))
                 if first and not out:
                     out.append(np.tile(self.start + e, (len(self.roles), 1)))
                 else:
@@ -112,10 +118,6 @@ def fit(conversations: DataFrame, params: ChatParams) -> RoleModel:
     np.fill_diagonal(going_on, 0.0)  # a role doesn't change inside a block of text
     step = np.stack([going_on, np.log(opening / opening.sum(1, keepdims=True))])
     emit = {s: np.log(v / totals) for s, v in table.items()}
-    for s, v in emit.items():  # a marker states its role
-        if (marker := s.split("|")[0]) != "-":
-            v[:] = np.log(1e-6)
-            v[at[marker]] = 0.0
     return RoleModel(params.roles, np.log(start / start.sum()), step, emit, np.log(a / totals))
 
 
