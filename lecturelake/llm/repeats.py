@@ -34,7 +34,7 @@ class RepeatParams:
     engine: Engine
     batch_units: int
     """Words or bytes that an engine reads at once (or one larger anchor)."""
-    most_segments: int = 400
+    most_segments: int = 4000
     """Distinct segments of an anchor that go to the engine together; beyond it windows are dealt one by one."""
     chunk_bytes: int = 1_000_000
 
