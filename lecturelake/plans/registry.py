@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _all() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
-    from lecturelake.plans import answer_queries, audio_queries, frame_queries, line_queries, pixel_queries, region_queries  # noqa: F401
+    from lecturelake.plans import answer_queries, audio_queries, frame_queries, line_queries, pixel_queries, region_queries, stream_queries  # noqa: F401
 
     return _found
 
