@@ -74,4 +74,4 @@ BROADCAST_ROWS = 1_000_000
 
 def hinted(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is within ``bound`` rows, else as it is. Give it a written table."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    return F.broadcast(df) if df.count() <= bound else df

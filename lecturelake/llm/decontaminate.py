@@ -179,20 +179,31 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, params: PhraseParams |
     """doc_id, n_words, runs (covered token spans, flat) and items (ids as strings, sorted) of every document."""
     params = params or PhraseParams()
     items = table_columns(benchmark, "item_id", "text").filter("item_id is not null and text is not null")
-    blocks, held, block = [], 0, []
-    for item, text in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
+    blocks = _blocks(items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator(), params)
+    windows, found, n = next(blocks), None, 0
+    while windows is not None:
+        after = next(blocks, None)
+        used = np.unique(windows[0][np.arange(windows[0].shape[1]) < windows[1][:, None]])
+        part = search(materialize(build_index(docs, used, params), "positions"), windows, params)
+        if after is not None or found is not None:
+            part = materialize(part, "phrases")  # so that the driver lets a block go before it makes the next
+        found = part if found is None else found.unionByName(part)
+        windows, n = after, n + 1
+    return found if n == 1 else _joined_runs(found, n)
+
+
+def _blocks(items: Iterator[tuple[str, bytes]], params: PhraseParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of the items, in blocks of a bounded number (or one longer item); at least one block, if an empty one."""
+    block: list[tuple[str, bytes]] = []
+    held, made = 0, False
+    for item, text in items:
         block.append((item, bytes(text)))
         held += len(text) // 4
         if held > params.block_windows:
-            blocks.append(_windows_of(block, params.window))
-            held, block = 0, []
-    blocks.append(_windows_of(block, params.window))
-    found = None
-    for n, windows in enumerate(blocks):
-        used = np.unique(windows[0][np.arange(windows[0].shape[1]) < windows[1][:, None]])
-        part = search(materialize(build_index(docs, used, params), f"positions-{n}"), windows, params)
-        found = part if found is None else found.unionByName(part)
-    return found if len(blocks) == 1 else _joined_runs(found, len(blocks))
+            yield _windows_of(block, params.window)
+            block, held, made = [], 0, True
+    if block or not made:
+        yield _windows_of(block, params.window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, params: PhraseParams | None = None) -> DataFrame:

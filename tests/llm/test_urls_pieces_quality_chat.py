@@ -32,6 +32,8 @@ PAGES = [
     (11, "http://x.com/fr/de/", None),
     (12, "http://a.org", None),
     (13, "http://lone.net/", None),
+    (14, "http://www.shop.evil.net/", None),
+    (15, "http://shop.evil.net/", "<A HREF='https://www.BAD.com/de/'>"),
     (1, "http://a.org/x", None),
 ]
 
@@ -52,10 +54,8 @@ def test_rules_and_parts(spark):
 
 def test_trust_and_distrust_match_a_plain_walk(spark):
     p = url_filter.UrlParams()
-    edges = {("a.org", "b.net"): 1, ("b.net", "c.net"): 1, ("www.bad.com", "c.net"): 1, ("evil.net", "www.bad.com"): 1, ("m.example.org", "example.org"): 1, ("example.org", "m.example.org"): 1}
-    edges |= {("www.bad.com", "bad.com"): 0}
-    edges = {k: v for k, v in edges.items() if v}
-    edges |= {("www.bad.com", "bad.com"): 1, ("bad.com", "www.bad.com"): 1} if False else {}
+    edges = {("a.org", "b.net"): 1, ("b.net", "c.net"): 1, ("www.bad.com", "c.net"): 1, ("evil.net", "www.bad.com"): 1}
+    edges |= {("www.shop.evil.net", "shop.evil.net"): 1, ("shop.evil.net", "www.shop.evil.net"): 1, ("shop.evil.net", "www.bad.com"): 1}
 
     def walk(pairs, seeds):
         out = dict(seeds)
@@ -74,8 +74,8 @@ def test_trust_and_distrust_match_a_plain_walk(spark):
     distrust = walk({(b, a): w for (a, b), w in edges.items()}, {"www.bad.com": 1.0, "m.example.org": 1.0})
     blocked = {h for h, d in distrust.items() if d > p.factor * trust.get(h, 0) and d > p.floor}
     got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, PAGES)).collect()}
-    assert got[5] == "block" and "evil.net" in blocked
-    assert all((got[i] == "block") == (h in blocked) for i, h in ((2, "b.net"), (3, "c.net"), (5, "evil.net"), (13, "lone.net")))
+    assert {"evil.net", "www.shop.evil.net"} <= blocked
+    assert all((got[i] == "block") == (h in blocked) for i, h in ((2, "b.net"), (3, "c.net"), (5, "evil.net"), (13, "lone.net"), (14, "www.shop.evil.net"), (15, "shop.evil.net")))
 
 
 # --- pieces
@@ -158,10 +158,9 @@ def test_viterbi_finds_the_best_path(spark):
     for conv, roles in got.items():
         texts = [r.text for r in small.filter(F.col("conv_id") == conv).orderBy("turn").collect()]
         weights = model.weights(texts, True)
-        opens = [i for i, n in enumerate(itertools.accumulate(len(t.split("\n")) for t in texts[:-1]))]
         firsts = [0, *itertools.accumulate(len(t.split("\n")) for t in texts[:-1])]
         best = max(itertools.product(range(3), repeat=len(texts)), key=lambda p: _score(p, weights, firsts))
-        assert [roles[t] for t in sorted(roles)] == [model.roles[i] for i in best], opens
+        assert [roles[t] for t in sorted(roles)] == [model.roles[i] for i in best]
 
 
 def _score(path, weights, firsts):
