@@ -58,7 +58,7 @@ class Collection:
         n, h = end - begin, self.block
         rank, left = self.rank[begin:end].copy(), self.left[begin:end]
         while True:
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)  # equal ones are told apart later
             ordered = rank[order]
             if n < 2 or (ordered[1:] != ordered[:-1]).all():
                 return order + begin
@@ -84,28 +84,34 @@ def merge(collection: Collection, shards: list[np.ndarray], rounds: int) -> tupl
     the common prefix with the one before, in blocks (``rounds`` where it reaches that far).
     """
     kind = np.uint16 if collection.small else np.int64
-    transforms = [collection.transform(s).astype(kind) for s in shards]
+    total = sum(map(len, shards))
+    # transforms end to end; ``at`` holds the place in them of each suffix of the interleave
+    front_of = np.concatenate([collection.transform(s) for s in shards]).astype(kind)
+    starts = np.cumsum([0] + [len(s) for s in shards])
     short = [np.sort(collection.rank[s[collection.left[s] <= collection.block]]).astype(kind) for s in shards]
     edge = np.concatenate(short)
-    edge_shard = np.repeat(np.arange(len(shards)), [len(x) for x in short])
-    total = sum(map(len, shards))
-    shard = np.repeat(np.arange(len(shards)), [len(s) for s in shards])
-    interval = np.zeros(total, np.int64)
-    common = np.full(total, rounds, np.int64)
+    bits = len(shards).bit_length()  # an interval's number and the shard travel in one number
+    edge_tag = np.repeat(np.arange(len(shards)), [len(x) for x in short]).astype(np.int64)
+    marks = (total + np.arange(len(edge)) << bits) | edge_tag
+    tag = np.repeat(np.arange(len(shards)), [len(s) for s in shards]).astype(np.int64)
+    at, shard = np.arange(total), tag
+    common = np.full(total, rounds, np.int32)
+    parts = np.ones(total, bool)
     for n in range(rounds):
-        front = np.empty(total, kind)
-        for i, t in enumerate(transforms):
-            front[shard == i] = t
-        go = front > 0
+        front = front_of[at]
+        go = np.flatnonzero(front)
         symbols = np.concatenate([edge, front[go]])
-        order = np.argsort(symbols, kind="stable")
-        ended = total + np.arange(len(edge)) if n else np.zeros(len(edge), np.int64)  # beyond its one block each meets a mark of its own
-        before = np.concatenate([ended, interval[go]])[order]
-        symbols, shard = symbols[order], np.concatenate([edge_shard, shard[go]])[order]
-        parts = np.ones(total, bool)
-        parts[1:] = (symbols[1:] != symbols[:-1]) | (before[1:] != before[:-1])
+        order = np.argsort(symbols, kind="stable") if collection.small else np.argsort(symbols * total + np.arange(total))
+        # beyond its one block each suffix in ``edge`` meets a mark of its own
+        tag = np.concatenate([marks if n else edge_tag, tag[go]])[order]
+        symbols, before, shard = symbols[order], tag >> bits, tag & ((1 << bits) - 1)
+        np.not_equal(symbols[1:], symbols[:-1], out=parts[1:])
+        parts[1:] |= before[1:] != before[:-1]
         common[parts & (common == rounds)] = n
         interval = np.cumsum(parts)
+        tag = interval << bits | shard
+        for i in range(len(shards)):
+            at[shard == i] = np.arange(starts[i], starts[i + 1])
     merged = np.empty(total, np.int64)
     for i, s in enumerate(shards):
         merged[shard == i] = s
@@ -126,7 +132,7 @@ def transform_engine(segments: list[np.ndarray], times: np.ndarray, width: int,
     return [often[end - len(s) : end - width + 1] for s, end in zip(segments, collection.ends.tolist(), strict=True)]
 
 
-PARAMS = RepeatParams(width=200, gram=40, words=False, engine=transform_engine, batch_units=60_000, most_segments=200)
+PARAMS = RepeatParams(width=200, gram=64, words=False, engine=transform_engine, batch_units=60_000)
 
 
 def remove_repeats(docs: DataFrame, params: RepeatParams = PARAMS) -> DataFrame:
