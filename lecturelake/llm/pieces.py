@@ -32,8 +32,8 @@ from lecturelake.llm._spark import chunks, list_array, read_table
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS = 500_000
-"""Words that a Python worker remembers between batches before it starts anew."""
+CACHED_WORDS = 400_000
+"""Words (and pairs of pieces) that a Python worker remembers between batches before it starts anew."""
 NONE = -1
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -46,7 +46,7 @@ class Vocabulary:
     ranks: dict[str, float]
     bytes_from: list[int]
     texts: list[bytes]
-    words: dict[str, array] = field(default_factory=dict)
+    words: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
     names: dict[int, str] = field(default_factory=dict)
     ends: dict = field(default_factory=dict)
@@ -88,7 +88,7 @@ class Vocabulary:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * CACHED_WORDS:
+            if len(self.pairs) > CACHED_WORDS:
                 self.pairs.clear()
             a, b = self.names[left], self.names[right]
             known = self.pairs[key] = self.merged(a + b) == [a, b]
@@ -105,7 +105,8 @@ class Vocabulary:
                 self.names[i] = piece
         return self
 
-    def emit(self, parts: list[str]) -> array:
+    def emit(self, parts: list[str]) -> bytes:
+        """Ids of some pieces as packed 32-bit numbers."""
         out = array("i")
         for p in parts:
             i = self.ids.get(p)
@@ -113,12 +114,12 @@ class Vocabulary:
                 out.extend(self.bytes_from[b] for b in p.encode())
             else:
                 out.append(i)
-        return out
+        return out.tobytes()
 
     def encode_words(self, words: list[str]) -> None:
         """Fills ``self.words`` for the given words, sorted: the trie of their prefixes in depth-first order."""
         before = ""
-        last: list[tuple[int, int]] = [(0, NONE)]  # for each prefix of the word: where the last piece of its path starts, and which it is
+        starts, last = [0], [NONE]  # for each prefix of the word: where the last piece of its path starts, and which it is
         ends, pairs = self.ends, self.pairs
         for word in words:
             if MARK * 2 in word:
@@ -127,29 +128,40 @@ class Vocabulary:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del starts[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                node, start, found = ends, end, []
+                node, start = ends, end
                 while start:
-                    node = node.get(word[start - 1])
-                    if node is None:
-                        break
                     start -= 1
-                    if "" in node:
-                        found.append((start, node[""]))
-                for step in reversed(found):  # longest piece first
-                    left = last[step[0]][1]
-                    if left < 0 or (pairs.get(left << 20 | step[1]) if left << 20 | step[1] in pairs else self.fits(left, step[1])):
+                    node = node.get(word[start])
+                    if node is None:
+                        start, piece = end - 1, NONE  # no piece: its bytes, which nothing merges with
                         break
+                    piece = node.get("")
+                    if piece is not None:
+                        left = last[start]
+                        if left < 0:
+                            break
+                        fit = pairs.get(left << 20 | piece)
+                        if fit or (fit is None and self.fits(left, piece)):
+                            break  # one path reaches a prefix, so the others needn't be tried
                 else:
-                    step = (end - 1, NONE)  # no piece: its bytes, which nothing merges with
-                last.append(step)
+                    start, piece = end - 1, NONE
+                starts.append(start)
+                last.append(piece)
             before = word
+            path, end, plain = [], len(word), True
+            while end:
+                path.append(last[end])
+                plain &= last[end] >= 0
+                end = starts[end]
+            if plain:
+                self.words[word] = array("i", path[::-1]).tobytes()
+                continue
             parts, end = [], len(word)
             while end:
-                start = last[end][0]
-                parts.append(word[start:end])
-                end = start
+                parts.append(word[starts[end] : end])
+                end = starts[end]
             self.words[word] = self.emit(parts[::-1])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +172,9 @@ class Vocabulary:
             self.words.clear()
             new = set().union(*cut)
         self.encode_words(sorted(new))
-        out, offsets, known = array("i"), [0], self.words
-        for words in cut:
-            for w in words:
-                out.extend(known[w])
-            offsets.append(len(out))
-        return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32), np.array(offsets)
+        packed = [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        offsets = np.cumsum([0] + [len(x) // 4 for x in packed])
+        return np.frombuffer(b"".join(packed), np.int32), offsets
 
     def decode(self, ids: list[int]) -> str:
         """Text of some ids: pieces end to end, without the space in front that encoding added."""
