@@ -30,7 +30,7 @@ class PhraseParams:
     window: int = 10
     slack: int = 0
     """0: exact phrases; more: proximity matches."""
-    shard_bytes: int = 2_000_000
+    shard_bytes: int = 1_000_000
     """Text bytes of one index row (or one longer document)."""
     block_windows: int = 200_000
     """Windows of one broadcast (some 40 MB)."""
