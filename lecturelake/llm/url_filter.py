@@ -4,8 +4,9 @@ A rule ``host/path`` fits its host and all subdomains where the url's path start
 the rules that fit, the longest wins. Pages that no rule fits get their host's verdict: personalised PageRank
 spreads trust from hosts with allowed pages along links, and distrust from hosts with blocked pages against
 them, both by joins over one pre-aggregated table of host edges. Edges are the absolute links in the pages'
-HTML and the bond between a host and the host that it is a subdomain of. A host is blocked where its
-distrust exceeds its trust by a factor.
+HTML and the bonds between a host and each domain that it is under, down to two labels, so that hosts of one
+domain share it even where it has no pages itself. A host is blocked where its distrust exceeds its trust by
+a factor.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed as
 nothing is known about it; null HTML has no links; an empty table gives an empty result.
@@ -66,15 +67,22 @@ def verdict_of(rule: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return F.when(rule.isin([r for v, r in rules if v == "allow"]), "allow").when(rule.isin([r for v, r in rules if v == "block"]), "block")
 
 
+def ancestors(host: Column) -> Column:
+    """All domains above a host, down to two labels; none for addresses of numbers and names with an empty label."""
+    labels = F.split(host, r"\.")
+    named = host.rlike(r"^[^.]+(\.[^.]+)*\.[^.\d][^.]*$") & (F.size(labels) > 2)
+    return F.when(named, F.transform(F.sequence(F.lit(2), F.size(labels) - 1), lambda n: F.array_join(F.slice(labels, -n, n), "."))).otherwise(F.array().cast("array<string>"))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: links between different hosts, counted, and bonds of subdomains in both directions."""
+    """src, dst, weight: links between different hosts, counted, and bonds of subdomains in both directions, which weigh one link a host."""
     links = pages.select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""), F.lit(1)))).alias("to")).select(
-        F.col("host").alias("src"), host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))).alias("dst")
+        F.col("host").alias("src"), host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))).alias("dst"), F.lit(1.0).alias("weight")
     )
-    hosts = pages.select("host").distinct()
-    bonds = hosts.select("host", F.regexp_extract("host", r"^[^.]+\.(.+\..+\..+)$", 1).alias("parent")).filter("parent <> ''")
-    both = bonds.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(bonds.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
-    return links.unionByName(both).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    above = pages.select("host").distinct().select("host", ancestors(F.col("host")).alias("above"))
+    bonds = above.select("host", F.explode("above").alias("parent"), (1.0 / F.size("above")).alias("weight"))
+    both = bonds.select(F.col("host").alias("src"), F.col("parent").alias("dst"), "weight").unionByName(bonds.select(F.col("parent").alias("src"), F.col("host").alias("dst"), "weight"))
+    return links.unionByName(both).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams) -> DataFrame:

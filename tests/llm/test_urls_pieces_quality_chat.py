@@ -78,6 +78,16 @@ def test_trust_and_distrust_match_a_plain_walk(spark):
     assert all((got[i] == "block") == (h in blocked) for i, h in ((2, "b.net"), (3, "c.net"), (5, "evil.net"), (13, "lone.net"), (14, "www.shop.evil.net"), (15, "shop.evil.net")))
 
 
+def test_bonds_reach_every_domain_above_and_link_siblings(spark):
+    urls = ["http://www.bad.com/de/1", "http://bad.com/", "http://shop.bad.com/", "http://x.y.bad.com/", "http://good.com/fr/", "http://www.good.com/", "http://other.com/", "http://1.2.3.4/", "http://9.2.3.4:80/", "http://a..com/", "http://b.bad.com./"]
+    got = {u: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, [(i, u, None) for i, u in enumerate(urls)])).collect() for u in [urls[r.page_id]]}
+    assert [got[u] for u in urls] == ["block"] * 4 + ["allow"] * 7
+    hosts = spark.createDataFrame([(h, None) for h in ("a.b.c.d", "a.b.c.d", "b.c.d", "c.d", "1.2.3.4", "9.2.3.4:80", "a..com", "b.bad.com.")], "host string, html string")
+    edges = {(r.src, r.dst): r.weight for r in url_filter.host_edges(hosts).collect()}
+    up = {("a.b.c.d", "b.c.d"): 0.5, ("a.b.c.d", "c.d"): 0.5, ("b.c.d", "c.d"): 1.0}
+    assert edges == up | {(b, a): w for (a, b), w in up.items()}
+
+
 # --- pieces
 def test_pieces_equal_the_tokenizers_own(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
