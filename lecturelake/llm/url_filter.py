@@ -5,8 +5,8 @@ the rules that fit, the longest wins. Pages that no rule fits get their host's v
 spreads trust from hosts with allowed pages along links, and distrust from hosts with blocked pages against
 them, both by joins over one pre-aggregated table of host edges. Edges are the absolute links in the pages'
 HTML and the bonds between a host and each domain that it is under, down to two labels, so that hosts of one
-domain share it even where it has no pages itself. A host is blocked where its distrust exceeds its trust by
-a factor.
+domain share it even where it has no pages itself. Ranks are spread until they converge, however long the
+chains of links are. A host is blocked where its distrust exceeds its trust by a factor.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed as
 nothing is known about it; null HTML has no links; an empty table gives an empty result.
@@ -30,6 +30,9 @@ class UrlParams:
     rules: tuple[tuple[str, str], ...] = RULES
     damping: float = 0.85
     rounds: int = 8
+    """Rounds between two tests of convergence."""
+    tolerance: float = 1e-9
+    """Ranks are spread until all that they still lack is below this."""
     factor: float = 2.0
     """A host is blocked where distrust > factor * trust."""
     floor: float = 1e-9
@@ -86,14 +89,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams) -> DataFrame:
-    """PageRank with restarts in the seeds (host, seed). edges: src, dst, share of src's weight."""
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for n in range(params.rounds):
-        passed = edges.join(rank, edges["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * params.damping).alias("rank"))
-        back = seeds.select("host", (F.col("seed") * (1 - params.damping)).alias("rank"))
-        rank = passed.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if n % 4 == 3:
-            rank = materialize(rank, "host-rank")
+    """PageRank with restarts in the seeds (kind, host, seed), for each kind by itself. edges: kind, src, dst, share of src's weight.
+
+    A round leaves at most ``damping`` of the summed change of the one before, so what ranks still lack is below the
+    tolerance once the change of ``rounds`` rounds is, and surely after log(tolerance / mass) / log(damping) rounds.
+    """
+    if not 0 <= params.damping < 1:
+        raise ValueError(f"ranks don't converge with a damping of {params.damping}")
+    mass = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    rank, left = seeds.select("kind", "host", F.col("seed").alias("rank")), 2 * mass
+    back = seeds.select("kind", "host", (F.col("seed") * (1 - params.damping)).alias("rank"))
+    while left > params.tolerance:
+        before = rank
+        for _ in range(params.rounds):
+            at = rank.select(F.col("kind").alias("k"), "host", "rank")
+            passed = edges.join(at, (edges["kind"] == F.col("k")) & (edges["src"] == F.col("host"))).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * params.damping).alias("rank"))
+            rank = passed.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = materialize(rank, "host-rank")
+        left *= params.damping**params.rounds
+        changes = rank.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change"))
+        if changes.agg(F.sum("change")).first()[0] <= params.tolerance:
+            break
     return rank
 
 
@@ -102,16 +118,17 @@ def host_verdicts(pages: DataFrame, params: UrlParams) -> DataFrame:
     edges = materialize(host_edges(pages), "host-edges")
     counts = materialize(pages.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad")).filter("good + bad > 0"), "host-seeds")
 
-    def spread(source: str, target: str, kind: str) -> DataFrame:
+    def shares(source: str, target: str, kind: str) -> DataFrame:
         total = edges.groupBy(F.col(source).alias("s")).agg(F.sum("weight").alias("all"))
-        shares = materialize(edges.join(total, edges[source] == F.col("s")).select(F.col(source).alias("src"), F.col(target).alias("dst"), (F.col("weight") / F.col("all")).alias("share")), f"host-shares-{kind}")
-        other = "bad" if kind == "good" else "good"
-        seeds = counts.filter(F.col(kind) > 0).select("host", (F.col(kind) / (F.col(kind) + F.col(other))).alias("seed"))
-        return personalised(shares, seeds, params)
-
-    trust = spread("src", "dst", "good").withColumnRenamed("rank", "trust")
-    distrust = spread("dst", "src", "bad").withColumnRenamed("rank", "distrust")
-    scores = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+        return edges.join(total, edges[source] == F.col("s")).select(F.lit(kind).alias("kind"), F.col(source).alias("src"), F.col(target).alias("dst"), (F.col("weight") / F.col("all")).alias("share"))
+
+    def seeds(kind: str) -> DataFrame:
+        return counts.filter(F.col(kind) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(kind) / (F.col("good") + F.col("bad"))).alias("seed"))
+
+    both = materialize(shares("src", "dst", "good").unionByName(shares("dst", "src", "bad")), "host-shares")
+    rank = personalised(both, materialize(seeds("good").unionByName(seeds("bad")), "host-kinds"), params)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+    scores = rank.groupBy("host").agg(of("good").alias("trust"), of("bad").alias("distrust"))
     return scores.withColumn("blocked", (F.col("distrust") > params.factor * F.col("trust")) & (F.col("distrust") > params.floor))
 
 

@@ -88,6 +88,24 @@ def test_bonds_reach_every_domain_above_and_link_siblings(spark):
     assert edges == up | {(b, a): w for (a, b), w in up.items()}
 
 
+def test_scores_reach_the_end_of_a_long_chain_and_equal_the_solved_ranks(spark):
+    n = 60
+    chain = [(i, f"http://h{i}.net/", f'<a href="http://h{i - 1}.net/">' if i else '<a href="http://h1.net/">') for i in range(n)]
+    p = url_filter.UrlParams(rules=(("block", "h0.net/"), ("allow", "a.net/")))
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, [*chain, (n, "http://a.net/", None)]), p).collect()}
+    assert got == dict.fromkeys(range(n), "block") | {n: "allow"}
+    hosts = spark.createDataFrame([(f"h{i}.net", html, "block" if i == 0 else None) for i, _, html in chain], "host string, html string, by_rule string")
+    ranks = {r.host: r.distrust for r in url_filter.host_verdicts(hosts, p).collect()}
+    step = np.zeros((n, n))
+    for i in range(n):
+        step[i, i - 1 if i else 1] = 1.0
+    into = step.sum(0)
+    solved = np.linalg.solve(np.eye(n) - p.damping * (step / np.where(into, into, 1)[None, :]), (1 - p.damping) * np.eye(n)[0])
+    assert all(abs(ranks[f"h{i}.net"] - solved[i]) < 1e-9 for i in range(n))
+    with pytest.raises(ValueError):
+        url_filter.host_verdicts(hosts, dataclasses.replace(p, damping=1.0))
+
+
 # --- pieces
 def test_pieces_equal_the_tokenizers_own(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
