@@ -1,7 +1,7 @@
 """Chat formatting: roles of transcript lines recovered by a hidden Markov model, then rendered as turns.
 
 States are roles; a line's symbol joins its speaker marker ("User:", "A:", ...), whether it opens a block
-of text, and features of the line itself (length, question mark, list or code start). Emissions and the two
+of text (the first line of a text or one with a marker), and features of the line itself (length, question mark, list or code start). Emissions and the two
 transition tables (into a line that opens a block, into one that goes on) are counted on labelled
 conversations in Spark and smoothed. The best role sequence of a conversation is found by Viterbi.
 
@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,12 @@ def symbol(line: str, opens: bool) -> str:
     return f"{marker}|{int(opens)}|{size}|{int(line.rstrip().endswith('?'))}|{int(bool(_LIST.match(line)))}"
 
 
+def marked(line: str) -> str | None:
+    """The role that a line's speaker marker states, if it has one."""
+    m = _MARKER.match(line)
+    return m.lastgroup if m else None
+
+
 def _lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
@@ -75,11 +82,12 @@ class RoleModel:
         out = []
         for n, text in enumerate(texts):
             for k, line in enumerate(_lines(text)):
-                e = self.emission(symbol(line, k == 0))
+                opens = k == 0 or marked(line) is not None  # a marker opens a block wherever it stands
+                e = self.emission(symbol(line, opens))
                 if first and not out:
                     out.append(np.tile(self.start + e, (len(self.roles), 1)))
                 else:
-                    out.append(self.step[int(k == 0)] + e[None, :])
+                    out.append(self.step[int(opens)] + e[None, :])
         return out
 
 
@@ -154,7 +162,7 @@ def pack(conversations: DataFrame, params: ChatParams) -> DataFrame:
 
 
 def recover(conversations: DataFrame, model: RoleModel, params: ChatParams) -> DataFrame:
-    """conv_id, turn, role, rendered for each row of the conversations; their own roles are not looked at."""
+    """conv_id, turn, sub, role, rendered for each run of a role inside a row of the conversations, numbered by sub; their own roles are not looked at."""
     spark = conversations.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a few hundred numbers
     pieces = materialize(pack(conversations, params), "chat-pieces")
@@ -213,20 +221,20 @@ def recover(conversations: DataFrame, model: RoleModel, params: ChatParams) -> D
                 states.reverse()
                 at = 0
                 for turn, text in zip(turns, texts, strict=True):
-                    role = model.roles[states[at]]
-                    at += len(_lines(text))
-                    out.append((conv, turn, role, render(role, text)))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "turn", "role", "rendered"])
+                    lines = _lines(text)
+                    runs = groupby(zip(states[at : at + len(lines)], lines, strict=True), key=lambda x: x[0])
+                    at += len(lines)
+                    for sub, (state, run) in enumerate(runs):
+                        role = model.roles[state]
+                        out.append((conv, turn, sub, role, render(role, "\n".join(x for _, x in run))))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "turn", "sub", "role", "rendered"])
 
-    return work.select("conv_id", "turns", "texts", "enter", "leave", "is_head").mapInArrow(decode, "conv_id long, turn long, role string, rendered string")
+    return work.select("conv_id", "turns", "texts", "enter", "leave", "is_head").mapInArrow(decode, "conv_id long, turn long, sub long, role string, rendered string")
 
 
 def render(role: str, text: str | None) -> str:
-    """One canonical turn; a speaker marker in front of the text goes."""
-    lines = _lines(text)
-    m = _MARKER.match(lines[0])
-    if m:
-        lines[0] = lines[0][m.end() :]
+    """One canonical turn; a speaker marker in front of the text goes, and those of the same role in front of later lines."""
+    lines = [x[_MARKER.match(x).end() :] if (said := marked(x)) and (k == 0 or said == role) else x for k, x in enumerate(_lines(text))]
     body = "\n".join(x.rstrip() for x in lines).strip()
     return f"<|{role}|>\n{body}\n<|end|>"
 
@@ -237,7 +245,7 @@ def learned(column: str) -> Column:
 
 
 def format_chats(conversations: DataFrame, params: ChatParams | None = None) -> DataFrame:
-    """conv_id, turn, role, rendered, learned; roles are recovered from the texts alone."""
+    """conv_id, turn, sub, role, rendered, learned; roles are recovered from the texts alone."""
     params = params or ChatParams()
     model = fit(conversations.filter(learned("conv_id")), params)
     return recover(conversations, model, params).withColumn("learned", F.coalesce(learned("conv_id"), F.lit(False)))

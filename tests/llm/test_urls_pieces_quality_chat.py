@@ -211,3 +211,13 @@ def test_markers_nulls_and_rendering(spark):
     assert got[1, 0].role == "user" and got[1, 0].rendered == "<|user|>\nhello\nmore\n<|end|>"
     assert got[1, 1].role == "assistant" and got[1, 1].rendered == "<|assistant|>\nhi\n<|end|>"
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_several_speakers_in_one_text_give_a_turn_each(spark):
+    model = chat.fit(talks(spark), chat.ChatParams())
+    rows = [(1, 0, None, "User: a\nAssistant: b\nmore\nHuman: c\nUser: d"), (1, 1, None, "Assistant: e"), (2, 0, None, "System: s\nUser: q?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {(1, 0, 0, "user", "a"), (1, 0, 1, "assistant", "b\nmore"), (1, 0, 2, "user", "c\nd"), (1, 1, 0, "assistant", "e"), (2, 0, 0, "system", "s"), (2, 0, 1, "user", "q?")}
+    for params in (chat.ChatParams(), chat.ChatParams(piece_turns=1)):
+        got = {tuple(r) for r in chat.recover(df, model, params).select("conv_id", "turn", "sub", "role", "rendered").collect()}
+        assert got == {(c, t, n, role, f"<|{role}|>\n{body}\n<|end|>") for c, t, n, role, body in want}
