@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_SHARED_DIR = "/tmp/lecturelake-shared"
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark runs on one machine."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(FALLBACK_SHARED_DIR)
-    return FALLBACK_SHARED_DIR
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lecturelake-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -75,3 +76,48 @@ BROADCAST_ROWS = 1_000_000
 def hinted(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is within ``bound`` rows, else as it is. Give it a written table."""
     return F.broadcast(df) if df.count() <= bound else df
+
+
+#: Rows of one key that a task of a spread join may read.
+ROWS_A_PART = 400
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", narrow: bool = True, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """Joins rows with a table, where a key may hold a third of all rows. Give it written tables.
+
+    A narrow table within the bound of ``hinted`` is broadcast. Else each key with more than ``rows_a_part`` rows is
+    dealt over several parts by a hash of the row, and what the table has of such a key goes to all of its parts.
+    """
+    if narrow and table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    hot = materialize(rows.groupBy(*keys).count().filter(F.col("count") > rows_a_part).select(*keys, F.ceil(F.col("count") / rows_a_part).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, keys, how)
+    one = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hinted(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), one).cast("int")).drop("_parts")
+    copies = table.join(hinted(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
+def content_key(text: Column) -> Column:
+    """A 64-bit hash of a text. With doc_id it names a row, as doc_ids may be null or shared; rows that repeat whole share it."""
+    return F.xxhash64(text)
+
+
+def _is_row(docs: DataFrame, keys: DataFrame) -> Column:
+    return docs["doc_id"].cast("long").eqNullSafe(keys["_doc_id"]) & (content_key(docs["text"]) == keys["_key"])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those that ``gone`` (doc_id, key; a written table) names, all columns kept."""
+    keys = hinted(gone.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("key").alias("_key")))
+    return docs.join(keys, _is_row(docs, keys), "left_anti")
+
+
+def one_of_each(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` with one row only for each that ``again`` (doc_id, key; a written table) names, all columns kept."""
+    if again.isEmpty():
+        return docs
+    keys = hinted(again.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("key").alias("_key")))
+    some = docs.join(keys, _is_row(docs, keys), "left_semi")
+    return without(docs, again).unionByName(some.dropDuplicates(["doc_id", "text"]))

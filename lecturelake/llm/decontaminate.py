@@ -1,14 +1,20 @@
-"""Benchmark decontamination by a distributed positional inverted index.
-
-The corpus is indexed by document shards: each index row holds some documents and, for every test term, its
-sorted token positions in them. A search walks each shard's posting lists: a phrase starts with its rarest
-term, whose positions minus the term's offset are the candidate starts, and every further list, shifted by
-its own offset, is intersected with them. With ``slack`` > 0 the same walk gives proximity matches, where
-every term lies within ``slack`` tokens of its place in the phrase. Test terms reach the shards in blocks
-of a bounded size, one broadcast each, however long the benchmark is.
-
-Defined results: null and empty texts have no words, n_words 0 and no items; null item texts have no
-windows; equal items are all reported; item_ids sort as strings; an empty benchmark leaves all clean.
+"""Benchmark decontamination by a distributed positional inverted index of the training tokens.
+
+``build_index`` stores the postings of every token of the corpus once, by document shards: a row of the index
+holds some documents, their distinct tokens in order, and each token's sorted positions. Any number of
+searches read it. The windows of the test items are made and counted in Spark, and reach the shards in blocks
+of a bounded size, one broadcast each, however long the benchmark is. A search walks each shard's posting
+lists: a phrase starts with its rarest term, whose positions minus the term's offset are the candidate
+starts, and every further list, shifted by its own offset, is intersected with them. With ``slack`` > 0 the
+same walk gives proximity matches, where every term lies within ``slack`` tokens of its place in the phrase.
+
+Words are told apart by 64-bit hashes.
+
+Defined results: null and empty texts have no words, n_words 0 and no items; null item texts and null item_ids
+have no windows; equal items are all reported, once each; item_ids sort as strings; an empty benchmark leaves
+all clean; repeated rows and rows that share a doc_id or have none come out as they went in, judged by their
+own text; very long texts are index rows of their own, in memory of some tens of bytes a byte; columns other
+than those named may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lecturelake.llm._spark import byte_view, chunks, hinted, list_array, materialize, read_table, table_columns
-from lecturelake.llm._words import PLAIN_WORDS, Rolling, signed, split_words, word_codes
+from lecturelake.llm._spark import byte_view, chunks, content_key, list_array, materialize, read_table, table_columns, without
+from lecturelake.llm._words import PLAIN_WORDS, signed, split_words, word_codes
 
 
 @dataclass(frozen=True)
@@ -30,67 +36,70 @@ class PhraseParams:
     window: int = 10
     slack: int = 0
     """0: exact phrases; more: proximity matches."""
+    gap: int = 64
+    """Free positions between two documents of a shard: searches of this index may have window + slack below it."""
     shard_bytes: int = 1_000_000
     """Text bytes of one index row (or one longer document)."""
     block_windows: int = 200_000
-    """Windows of one broadcast (some 40 MB)."""
-
+    """Windows of one broadcast (some 40 MB), about."""
 
-INDEX = "doc_ids array<long>, sums array<long>, n_words array<int>, terms array<long>, ends array<int>, positions array<int>"
-HITS = "doc_id long, sum long, n_words long, runs array<int>, items array<string>"
 
+INDEX = "doc_ids array<long>, keys array<long>, n_words array<int>, terms array<long>, ends array<int>, positions array<int>"
+HITS = "doc_id long, key long, n_words long, runs array<int>, items array<string>"
 
-def _windows_of(items: list[tuple[str, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows: a matrix of terms (0 fills short ones), their lengths, and for each (window, item) pair a row."""
-    rows: dict[tuple, set[str]] = {}
-    for item, text in items:
-        data = np.frombuffer(text, np.uint8)
-        starts, ends, _ = split_words(data, np.array([0, len(data)]), PLAIN_WORDS)
-        codes = signed(word_codes(data, starts, ends, lower=True))
-        for i in range(max(1, len(codes) - width + 1) if len(codes) else 0):
-            rows.setdefault(tuple(codes[i : i + width].tolist()), set()).add(item)
-    terms = np.zeros((len(rows), width), np.int64)
-    lengths = np.zeros(len(rows), np.int64)
-    names = np.empty(len(rows), object)
-    for i, (window, owners) in enumerate(rows.items()):
-        terms[i, : len(window)], lengths[i], names[i] = window, len(window), sorted(owners)
-    return terms, lengths, names
 
-
-def build_index(docs: DataFrame, terms: np.ndarray, params: PhraseParams) -> DataFrame:
-    """Posting lists of the given terms (a sorted array of word identities, bounded by the caller) in every document."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(terms)
-    limit = params.shard_bytes
-    gap = params.window + params.slack + 1
+def build_index(docs: DataFrame, params: PhraseParams) -> DataFrame:
+    """Posting lists of every word of every document."""
+    limit, gap = params.shard_bytes, params.gap
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = wanted.value
         for part in chunks(batches, "text", limit):
             data, off = byte_view(part.column(1))
             starts, ends, first = split_words(data, off, PLAIN_WORDS)
             codes = signed(word_codes(data, starts, ends, lower=True))
             n_words = np.diff(first)
-            document = np.repeat(np.arange(len(n_words)), n_words)
-            at = np.searchsorted(vocabulary, codes)
-            at[at == len(vocabulary)] = 0
-            known = np.flatnonzero(vocabulary[at] == codes) if len(vocabulary) else np.zeros(0, np.int64)
-            order = known[np.argsort(at[known], kind="stable")]
-            position = order + document[order] * gap  # no phrase reaches from one document into the next
-            found, counts = np.unique(at[order], return_counts=True)
-            yield pa.record_batch(
-                [
-                    pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                    list_array(signed(Rolling(codes.view(np.uint64)).of(first[:-1], first[1:])), np.array([0, len(n_words)]), pa.int64()),
-                    list_array(n_words, np.array([0, len(n_words)]), pa.int32()),
-                    list_array(vocabulary[found], np.array([0, len(found)]), pa.int64()),
-                    list_array(np.cumsum(counts), np.array([0, len(found)]), pa.int32()),
-                    list_array(position, np.array([0, len(position)]), pa.int32()),
-                ],
-                names=["doc_ids", "sums", "n_words", "terms", "ends", "positions"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX)
+            order = np.argsort(codes, kind="stable")
+            position = order + np.repeat(np.arange(len(n_words)), n_words)[order] * gap
+            ordered = codes[order]
+            begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+            lists = (part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(), n_words, ordered[begins], np.append(begins[1:], len(ordered))[: len(begins)], position)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            columns = [list_array(x, np.array([0, len(x)]), t) for x, t in zip(lists[1:], kinds[1:], strict=True)]
+            yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *columns], names=["doc_ids", "keys", "n_words", "terms", "ends", "positions"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", content_key(F.col("text")).alias("key")).mapInArrow(index, INDEX)
+
+
+def item_windows(benchmark: DataFrame, params: PhraseParams) -> DataFrame:
+    """terms (word codes in order), items (ids as strings, sorted), block for each different window of the items."""
+    width = params.window
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", 1_000_000):
+            data, off = byte_view(part.column(1))
+            starts, ends, first = split_words(data, off, PLAIN_WORDS)
+            codes = signed(word_codes(data, starts, ends, lower=True))
+            rows = [(item, codes[i : min(i + width, b)]) for item, a, b in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True) for i in range(a, max(b - width, a if b > a else a - 1) + 1)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["item", "terms"])
+
+    items = table_columns(benchmark, "item_id", "text").filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
+    found = items.mapInArrow(cut, "item string, terms array<long>").groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = materialize(found, "item-windows")
+    return found.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(max(1, -(-found.count() // params.block_windows)))))
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]
+
+
+def _block(windows: DataFrame, width: int) -> Block:
+    """Some windows as arrays: their different terms, a matrix of places in these (the last place fills short ones), lengths and items."""
+    table = windows.select("terms", "items").toArrow()
+    lists = table.column("terms").combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    terms, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    matrix = np.full((len(lengths), width), len(terms))
+    matrix[np.arange(width) < lengths[:, None]] = place
+    return terms, matrix, lengths, table.column("items").to_pylist()
 
 
 def _near(values: np.ndarray, places: np.ndarray, slack: int) -> np.ndarray:
@@ -101,33 +110,40 @@ def _near(values: np.ndarray, places: np.ndarray, slack: int) -> np.ndarray:
     return ok
 
 
-def search(index: DataFrame, windows: tuple[np.ndarray, np.ndarray, np.ndarray], params: PhraseParams) -> DataFrame:
-    """Hits of the windows in the index: for each document its covered token runs (start, end, start, ...) and items."""
-    shared = index.sparkSession.sparkContext.broadcast(windows)
-    slack, gap = params.slack, params.window + params.slack + 1
+def search(index: DataFrame, block: Block, params: PhraseParams) -> DataFrame:
+    """Hits of some windows in the index: for each document its covered token runs (start, end, start, ...) and items."""
+    shared = index.sparkSession.sparkContext.broadcast(block)  # block_windows windows, about
+    slack, gap = params.slack, params.gap
+    if params.window + slack >= gap:
+        raise ValueError(f"a window of {params.window} words with a slack of {slack} needs an index with a gap over {params.window + slack}")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, lengths, names = shared.value
-        real = np.arange(terms.shape[1]) < lengths[:, None]
+        terms, matrix, lengths, names = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
-                doc_ids, sums = (batch.column(i)[r].values for i in range(2))
+                doc_ids, keys = (batch.column(i)[r].values for i in range(2))
                 n_words, known, ends, positions = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(2, 6))
                 begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                slot = np.searchsorted(known, terms)
-                slot[slot == len(known)] = 0
-                have = (known[slot] == terms) if len(known) else np.zeros(terms.shape, bool)
-                counts = np.where(real, np.where(have, (ends - begins)[slot], 0) if len(known) else 0, np.iinfo(np.int64).max)
+                counts, slot = np.zeros(len(terms) + 1, np.int64), np.zeros(len(terms) + 1, np.int64)
+                counts[-1] = np.iinfo(np.int64).max  # where a short window has no term
+                if len(known) and len(terms):
+                    at = np.minimum(np.searchsorted(terms, known), len(terms) - 1)
+                    both = np.flatnonzero(terms[at] == known)
+                    slot[at[both]], counts[at[both]] = both, (ends - begins)[both]
                 offsets = np.concatenate(([0], np.cumsum(n_words + gap)))
                 span, hits_of = np.zeros(int(offsets[-1]) + 1, np.int32), {}
-                for w in np.flatnonzero(counts.min(axis=1) > 0) if len(terms) else ():
-                    first, *rest = np.argsort(counts[w], kind="stable")[: lengths[w]].tolist()
-                    s = slot[w, first]
+                may = np.arange(len(lengths))
+                for column in matrix.T:
+                    may = may[counts[column[may]] > 0]
+                for w in may:
+                    mine = matrix[w]
+                    first, *rest = np.argsort(counts[mine], kind="stable")[: lengths[w]].tolist()
+                    s = slot[mine[first]]
                     at = positions[begins[s] : ends[s]] - first
                     for j in rest:
                         if not len(at):
                             break
-                        s = slot[w, j]
+                        s = slot[mine[j]]
                         at = at[_near(at + j, positions[begins[s] : ends[s]], slack)]
                     if slack and len(at):
                         document = np.searchsorted(offsets, at + first, side="right") - 1
@@ -147,7 +163,7 @@ def search(index: DataFrame, windows: tuple[np.ndarray, np.ndarray, np.ndarray],
                     else:
                         runs.append([])
                         items.append([])
-                yield pa.record_batch([doc_ids, sums, pa.array(n_words.astype(np.int64)), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "sum", "n_words", "runs", "items"])
+                yield pa.record_batch([doc_ids, keys, pa.array(n_words.astype(np.int64)), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "runs", "items"])
 
     return index.mapInArrow(walk, HITS)
 
@@ -166,44 +182,31 @@ def _joined_runs(parts: DataFrame, blocks: int) -> DataFrame:
                     else:
                         merged += [a, b]
                 out.append(merged)
-            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.list_(pa.int32())), batch.column(4)], names=["doc_id", "sum", "n_words", "runs", "items"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.list_(pa.int32())), batch.column(4)], names=["doc_id", "key", "n_words", "runs", "items"])
 
-    grouped = parts.groupBy("doc_id", "sum", "n_words").agg(
+    grouped = parts.groupBy("doc_id", "key", "n_words").agg(
         F.collect_set("runs").alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("copies")
     )
-    again = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "sum", "n_words", "runs", "items")
+    again = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", "runs", "items")
     return again.mapInArrow(unite, HITS)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, params: PhraseParams | None = None) -> DataFrame:
-    """doc_id, n_words, runs (covered token spans, flat) and items (ids as strings, sorted) of every document."""
+    """doc_id, key, n_words, runs (covered token spans, flat) and items (ids as strings, sorted) of every document."""
     params = params or PhraseParams()
-    items = table_columns(benchmark, "item_id", "text").filter("item_id is not null and text is not null")
-    blocks = _blocks(items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator(), params)
-    windows, found, n = next(blocks), None, 0
-    while windows is not None:
-        after = next(blocks, None)
-        used = np.unique(windows[0][np.arange(windows[0].shape[1]) < windows[1][:, None]])
-        part = search(materialize(build_index(docs, used, params), "positions"), windows, params)
-        if after is not None or found is not None:
-            part = materialize(part, "phrases")  # so that the driver lets a block go before it makes the next
-        found = part if found is None else found.unionByName(part)
-        windows, n = after, n + 1
-    return found if n == 1 else _joined_runs(found, n)
+    return search_all(materialize(build_index(docs, params), "positions"), item_windows(benchmark, params), params)
 
 
-def _blocks(items: Iterator[tuple[str, bytes]], params: PhraseParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows of the items, in blocks of a bounded number (or one longer item); at least one block, if an empty one."""
-    block: list[tuple[str, bytes]] = []
-    held, made = 0, False
-    for item, text in items:
-        block.append((item, bytes(text)))
-        held += len(text) // 4
-        if held > params.block_windows:
-            yield _windows_of(block, params.window)
-            block, held, made = [], 0, True
-    if block or not made:
-        yield _windows_of(block, params.window)
+def search_all(index: DataFrame, windows: DataFrame, params: PhraseParams) -> DataFrame:
+    """Hits of all windows, block by block, in an index that is there already."""
+    blocks = [r.block for r in windows.select("block").distinct().orderBy("block").collect()] or [0]
+    found = None
+    for block in blocks:
+        part = search(index, _block(windows.filter(F.col("block") == block), params.window), params)
+        if len(blocks) > 1:
+            part = materialize(part, "phrases")  # so that the driver lets a block go before it reads the next
+        found = part if found is None else found.unionByName(part)
+    return found if len(blocks) == 1 else _joined_runs(found, len(blocks))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, params: PhraseParams | None = None) -> DataFrame:
@@ -215,8 +218,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, params: PhraseParams |
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: PhraseParams | None = None) -> DataFrame:
     """Documents in which no benchmark phrase occurs, all columns kept."""
-    found = contamination(docs, benchmark, params).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hinted(materialize(found, "contaminated")), "doc_id", "left_anti")
+    found = phrase_matches(docs, benchmark, params).filter(F.size("runs") > 0).select("doc_id", "key").distinct()
+    return without(docs, materialize(found, "contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lecturelake.llm._spark import hinted, materialize, read_table, shared_dir, table_columns
+from lecturelake.llm._spark import content_key, hinted, materialize, one_of_each, read_table, shared_dir, table_columns, without
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -35,7 +35,7 @@ def sha256_bytes(norm: Column) -> Column:
 
 @dataclass
 class DigestIndex:
-    """Sorted runs of (digest, doc_id, n_chars, row) and, after compaction, one entry a digest."""
+    """Sorted runs of (digest, doc_id, key, n_chars, row) and, after compaction, one entry a digest."""
 
     digest: Callable[[Column], Column] = sha256_bytes
     runs: list[DataFrame] = field(default_factory=list)
@@ -47,6 +47,7 @@ class DigestIndex:
         rows = table_columns(docs, "doc_id", "text").select(
             self.digest(normalised(F.col("text"))).alias("digest"),
             "doc_id",
+            content_key(F.col("text")).alias("key"),
             F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
             (F.monotonically_increasing_id() + F.lit(len(self.runs) << 55)).alias("row"),
         )
@@ -81,7 +82,7 @@ class DigestIndex:
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, digest.
+    """One row a document: doc_id, key (see content_key), keep_id, group_size, kept, digest.
 
     ``digest`` maps the normalised text to a binary or string; a weak one costs time, never correctness.
     """
@@ -93,6 +94,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_by
     plain = runs.join(hits, "digest", "left").select(
         "digest",
         "doc_id",
+        "key",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         (F.col("n").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
@@ -125,24 +127,20 @@ def _by_text(docs: DataFrame, collided: DataFrame, digest: Callable[[Column], Co
         .withColumn("norm", normalised(F.col("text")))
         .withColumn("digest", digest(F.col("norm")))
         .join(collided, "digest", "left_semi")
-        .select("digest", "norm", "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row")),
+        .select("digest", "norm", "doc_id", content_key(F.col("text")).alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row")),
         "digest-collided-rows",
     )
     order = F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     keep = rows.groupBy("norm").agg(F.count("*").alias("group_size"), F.min(order).alias("keep"))
-    return rows.join(keep, "norm").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"))
+    return rows.join(keep, "norm").select("digest", "doc_id", "key", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Documents without exact copies, all columns kept; of rows that repeat whole, one stays."""
-    found = materialize(exact_groups(docs), "exact-groups")
-    gone = materialize(found.filter(~F.col("kept")).select("doc_id").distinct(), "exact-gone")
-    also_kept = materialize(found.filter("kept").join(gone, "doc_id", "left_semi").select("doc_id").distinct(), "exact-again")
-    kept = docs.join(hinted(gone), "doc_id", "left_anti")
-    if also_kept.isEmpty():
-        return kept
-    again = docs.join(hinted(also_kept), "doc_id", "left_semi").withColumn("_norm", F.sha2(normalised(F.col("text")), 256))
-    return kept.unionByName(again.dropDuplicates(["doc_id", "_norm"]).drop("_norm"))
+    found = materialize(exact_groups(docs).select("doc_id", "key", "kept"), "exact-groups")
+    rows = found.groupBy("doc_id", "key").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    rows = materialize(rows.filter("not stays or n > 1"), "exact-gone")
+    return one_of_each(without(docs, rows.filter("not stays").select("doc_id", "key")), rows.filter("stays").select("doc_id", "key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

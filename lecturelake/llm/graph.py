@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lecturelake.llm._spark import materialize
+from lecturelake.llm._spark import materialize, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,11 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(both.filter("a <> b").distinct(), "component-edges")
     labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "component-labels")
     while True:
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
+        near = spread_join(edges, labels.withColumnRenamed("id", "b"), ["b"]).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         lower = materialize(lower, "component-lower")
-        jump = lower.select(F.col("id").alias("at"), F.col("component").alias("next"))
-        step = lower.join(jump, F.col("component") == F.col("at"), "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component"))
+        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        step = spread_join(lower, jump, ["component"], "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component"))
         step = materialize(step, "component-step")
         labels = step.select("id", "component")
         if step.filter("was <> component").isEmpty():

@@ -3,10 +3,17 @@
 A window's anchor is the smallest hash among the short grams inside it, so equal windows have equal anchors.
 Each document is cut into segments, maximal runs of windows with one anchor. Only segments whose anchor
 occurs again anywhere can hold a repeated window; of these, segments that occur whole at least twice are
-repeated throughout. For what is left (a segment that is alone but shares its anchor with others, or holds
-its anchor twice) an engine reads the distinct segments of one anchor side by side and tells the repeated
-windows. Anchors are dealt over the cluster; an anchor with more distinct segments than a bound, such as
-the edge of a passage that countless documents hold, is dealt window by window instead.
+repeated throughout. What is left (a segment that is alone but shares its anchor with others, or holds its
+anchor twice) must also share the stretch of half the other units to the left or to the right of its anchor,
+as any repeated window does. An engine reads the distinct segments of one anchor side by side and tells the
+repeated windows. Anchors are dealt over the cluster. An anchor with more distinct segments than a task should
+read, such as the edge of a passage that countless documents hold, is split: its segments are cut again by the
+next longer gram, and what that leaves goes to the same engine.
+
+Identities of segments are 64-bit hashes, compared only among segments of one anchor.
+
+Defined results: nulls are empty texts; very long texts are cut like others, in memory of some tens of bytes a
+byte of the longest; repeated rows repeat each other; ties don't arise; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lecturelake.llm._spark import byte_view, chunks, hinted, materialize
-from lecturelake.llm._words import BYTE_CODES, SPACE_WORDS, U64, Rolling, mix, signed, sliding_min, split_words, word_codes
+from lecturelake.llm._spark import byte_view, chunks, hinted, materialize, spread_join
+from lecturelake.llm._words import BYTE_CODES, SPACE_WORDS, Rolling, signed, sliding_min, split_words, stretches, word_codes
 
 Engine = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 """(distinct segments, occurrences of each, width) -> for each segment, which of its windows occur twice or more."""
@@ -29,20 +36,21 @@ Engine = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 @dataclass(frozen=True)
 class RepeatParams:
     width: int
-    gram: int
+    grams: tuple[int, ...]
+    """Lengths of the grams that anchors are taken from: the first for all windows, each further one for the segments of anchors that are still too many for a task."""
     words: bool
     engine: Engine
     batch_units: int
     """Words or bytes that an engine reads at once (or one larger anchor)."""
-    most_segments: int = 4000
-    """Distinct segments of an anchor that go to the engine together; beyond it windows are dealt one by one."""
+    most_segments: int = 400
+    """Distinct segments of an anchor that one task reads side by side."""
     chunk_bytes: int = 1_000_000
 
     def units(self, part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit codes of the words or bytes of each text, and the offsets of the texts."""
+        """Codes of the words (64 bits) or bytes of each text, and the offsets of the texts."""
         data, off = byte_view(part.column(column))
         if not self.words:
-            return BYTE_CODES[data], off
+            return data, off
         starts, ends, first = split_words(data, off, SPACE_WORDS)
         return word_codes(data, starts, ends, lower=False), first
 
@@ -53,12 +61,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def cut(codes: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments: text, start (in the text), windows, anchor, hash of the content, whether the anchor occurs twice in it."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+    """Segments: text, start (in the text), windows, anchor, identity of the content, whether the anchor occurs twice in it, and
+    32-bit hashes of the stretches to the left and to the right of the anchor that a window with most of its other units there holds (0: none)."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool, np.int64, np.int64))
     if len(codes) < width:
         return none
     counts = np.diff(first)
-    rolling = Rolling(codes)
+    rolling = Rolling(BYTE_CODES[codes] if codes.dtype == np.uint8 else codes)
     span = width - gram + 1  # grams in a window
     grams = rolling.windows(gram)
     least = sliding_min(grams, span)
@@ -77,79 +86,125 @@ def cut(codes: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np
     last = np.zeros(len(least) + 1, bool)
     last[starts] = True
     last[np.flatnonzero(valid[:-1] & ~valid[1:]) + 1] = True
+    last[-1] = True
     stops = np.flatnonzero(last)
-    windows = stops[np.searchsorted(stops, starts) + 1] - starts if stops[-1] > starts[-1] else np.append(stops, len(least))[np.searchsorted(stops, starts) + 1] - starts
+    windows = stops[np.searchsorted(stops, starts) + 1] - starts
     # places whose gram is the smallest of some window; equal neighbours among them are an anchor that a segment holds twice
     most = ~sliding_min(~np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64))), span)
     places = np.flatnonzero(grams == most)
-    twice = np.zeros(len(places) + 1, np.int64)
-    twice[1:-1] = np.cumsum(grams[places[1:]] == grams[places[:-1]]) if len(places) > 1 else twice[1:-1]
-    if len(places):
-        twice[-1] = twice[-2] if len(places) > 1 else 0
+    twice = np.zeros(len(places), np.int64)
+    twice[1:] = np.cumsum(grams[places[1:]] == grams[places[:-1]])
     lo, hi = np.searchsorted(places, starts), np.searchsorted(places, starts + windows + span - 1) - 1
+    anchor, ends = least[starts], starts + windows + width - 1
+    at = lo.copy()
+    while len(wrong := np.flatnonzero(grams[places[at]] != anchor)):
+        at[wrong] += 1
+    place, half = places[at], -(-(width - gram) // 2)
+    sides = []
+    for begin, end, inside in ((place - half, place, place - half >= starts), (place + gram, place + gram + half, place + gram + half <= ends)):
+        side = np.zeros(len(starts), np.uint64)
+        side[inside] = rolling.of(begin[inside], end[inside]) | np.uint64(1)
+        sides.append((side >> np.uint64(33)).astype(np.int64) + (side > 0))
     text = np.searchsorted(first, starts, side="right") - 1
-    return text, starts - first[text], windows, least[starts], rolling.of(starts, starts + windows + width - 1), twice[np.maximum(hi, lo)] > twice[lo]
+    return text, starts - first[text], windows, anchor, stretches(codes, starts, ends), twice[np.maximum(hi, lo)] > twice[lo], sides[0], sides[1]
+
+
+SEGMENT = "anchor long, seg long, n int, doc long, key long, start int, windows int, twice boolean, left long, right long"
+
+
+def _segment_batch(found: tuple[np.ndarray, ...], n: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    _, _, windows, anchor, seg, twice, left, right = found
+    columns = [signed(anchor), signed(seg), n.astype(np.int32), doc, key, start.astype(np.int32), windows.astype(np.int32), twice, left, right]
+    return pa.record_batch([pa.array(c) for c in columns], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
 
 def segments(docs: DataFrame, params: RepeatParams) -> DataFrame:
-    """anchor, seg, doc, key, start, windows, twice for every segment of every document."""
+    """Every segment of every document by the first gram, each occurring once (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", params.chunk_bytes):
             codes, first = params.units(part, 3)
-            text, start, windows, anchor, seg, twice = cut(codes, first, params.width, params.gram)
-            doc, key = (part.column(i).to_numpy(zero_copy_only=False)[text] for i in range(2))
-            yield pa.record_batch(
-                [pa.array(signed(anchor)), pa.array(signed(seg)), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(twice)],
-                names=["anchor", "seg", "doc", "key", "start", "windows", "twice"],
-            )
+            found = cut(codes, first, params.width, params.grams[0])
+            doc, key = (part.column(i).to_numpy(zero_copy_only=False)[found[0]] for i in range(2))
+            yield _segment_batch(found, np.ones(len(doc)), doc, key, found[1])
+
+    return docs.mapInArrow(run, SEGMENT)
 
-    return docs.mapInArrow(run, "anchor long, seg long, doc long, key long, start int, windows int, twice boolean")
+
+def cut_again(contents: DataFrame, params: RepeatParams, gram: int) -> DataFrame:
+    """Segments by a longer gram of segments whose contents are given; n and places come from those."""
+    unit = np.uint64 if params.words else np.uint8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "content", params.chunk_bytes):
+            data, off = byte_view(part.column(5))
+            codes, first = (np.frombuffer(data.tobytes(), unit), off // np.dtype(unit).itemsize)
+            found = cut(codes, first, params.width, gram)
+            n, doc, key, start = (part.column(i).to_numpy(zero_copy_only=False)[found[0]] for i in range(1, 5))
+            yield _segment_batch(found, n, doc, key, start + found[1])
+
+    return contents.select("anchor", "n", "doc", "key", "start", "content").mapInArrow(run, SEGMENT)
 
 
 def covered(docs: DataFrame, params: RepeatParams) -> DataFrame:
     """doc, key, spans (array of from, to in words or bytes) of every document with a repeated window. docs: as keyed() gives."""
-    width = params.width
     made = materialize(segments(docs, params), "segments")
-    again = made.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("twice").alias("twice"))
-    again = materialize(again.filter("n > 1 or twice").select("anchor", (F.col("twice") | (F.col("low") != F.col("high"))).alias("mixed")), "anchors-again")
-    alive = materialize(made.join(hinted(again), "anchor"), "segments-alive")
-    whole = F.struct(F.col("start").alias("from"), (F.col("start") + F.col("windows") + width - 1).alias("to"))
+    out, crowded = _settled(docs, made, params)
+    for gram in params.grams[1:]:
+        if crowded.isEmpty():
+            break
+        # at the last gram, the width itself, a segment is one window and the segments of an anchor are one
+        more, crowded = _settled(docs, materialize(cut_again(crowded, params, gram), "segments-again"), params, gram == params.width)
+        out = out.unionByName(more)
+    return out.groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
+
+
+def _settled(docs: DataFrame, made: DataFrame, params: RepeatParams, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc, key, span) of repeated windows of the segments, and contents of those whose anchor is still crowded."""
+    again = made.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("twice").alias("twice"))
+    again = materialize(again.filter("n > 1 or twice").select("anchor", (F.col("twice") | (F.col("low") != F.col("high"))).alias("mixed"), F.col("twice").alias("keep")), "anchors-again")
+    alive = materialize(made.drop("twice").join(hinted(again), "anchor"), "segments-alive")
+    whole = F.struct(F.col("start").alias("from"), (F.col("start") + F.col("windows") + params.width - 1).alias("to"))
     plain = alive.filter("not mixed").select("doc", "key", whole.alias("span"))
 
     place = F.struct("doc", "key", "start", "windows")
-    distinct = materialize(alive.filter("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segments-distinct")
-    copied = alive.filter("mixed").join(distinct.filter("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("doc", "key", whole.alias("span"))
-    asked = distinct.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("n").alias("least")).filter("least = 1").select("anchor", (F.col("segments") > params.most_segments).alias("hot"))
-    open_segments = materialize(distinct.join(asked, "anchor"), "segments-open")
-    contents = materialize(_contents(docs, open_segments, params), "segment-contents")
-    judged = _judged(contents.filter("not hot"), params).unionByName(_window_by_window(contents.filter("hot"), params))
-    parted = judged.select("doc", "key", F.explode("spans").alias("span"))
-    return plain.unionByName(copied).unionByName(parted).groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
+    distinct = alive.filter("mixed").groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.min(place).alias("at"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("keep").alias("keep"))
+    distinct = materialize(distinct, "segments-distinct")
+    copied = spread_join(alive.filter("mixed"), distinct.filter("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select("doc", "key", whole.alias("span"))
+
+    sides = distinct.select("anchor", "keep", F.explode(F.array(F.col("left"), -F.col("right"))).alias("side")).filter("side <> 0 and not keep").groupBy("anchor", "side").count().filter("count > 1")
+    sides = materialize(sides.select("anchor", "side"), "segment-sides")
+    left, right = (sides.select(F.col("anchor"), (F.col("side") * sign).alias(name), F.lit(True).alias(f"by_{name}")) for name, sign in (("left", 1), ("right", -1)))
+    near = spread_join(spread_join(distinct, left, ["anchor", "left"], "left"), right, ["anchor", "right"], "left")
+    near = materialize(near.filter("keep or by_left or by_right").select("anchor", "seg", "n", "at"), "segments-near")
+    asked = near.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("n").alias("least")).filter("least = 1")
+    asked = materialize(asked.select("anchor", (F.lit(not last) & (F.col("segments") > params.most_segments)).alias("crowded")), "anchors-asked")
+    contents = materialize(_contents(docs, spread_join(near, asked, ["anchor"]), params), "segment-contents")
+    judged = _judged(contents.filter("not crowded"), params).select("doc", "key", F.explode("spans").alias("span"))
+    return plain.unionByName(copied).unionByName(judged), contents.filter("crowded")
 
 
 def _contents(docs: DataFrame, open_segments: DataFrame, params: RepeatParams) -> DataFrame:
     """The words' codes or bytes of one place of each open segment."""
-    where = open_segments.select("at.doc", "at.key", F.struct("anchor", "seg", "n", "hot", F.col("at.start").alias("start"), F.col("at.windows").alias("windows")).alias("s"))
+    where = open_segments.select("at.doc", "at.key", F.struct("anchor", "seg", "n", "crowded", F.col("at.start").alias("start"), F.col("at.windows").alias("windows")).alias("s"))
     lists = materialize(where.groupBy("doc", "key").agg(F.collect_list("s").alias("s")), "segment-places")
-    some = docs.join(hinted(lists.select("doc", "key").distinct()), ["doc", "key"], "left_semi")
+    some = docs.join(hinted(lists.select("doc", "key")), ["doc", "key"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", params.chunk_bytes):
-            data, off = byte_view(part.column(2)) if not params.words else (None, None)
-            codes, first = params.units(part, 2) if params.words else (data, off)
+            codes, first = params.units(part, 2)
             rows = []
             for i, found in enumerate(part.column(3).to_pylist()):
                 for s in found:
                     a = first[i] + s["start"]
-                    rows.append((s["anchor"], s["seg"], s["n"], s["hot"], part.column(0)[i].as_py(), part.column(1)[i].as_py(), s["start"], s["windows"], codes[a : a + s["windows"] + params.width - 1].tobytes()))
+                    rows.append((s["anchor"], s["seg"], s["n"], s["crowded"], part.column(0)[i].as_py(), part.column(1)[i].as_py(), s["start"], s["windows"], codes[a : a + s["windows"] + params.width - 1].tobytes()))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "seg", "n", "hot", "doc", "key", "start", "windows", "content"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "seg", "n", "crowded", "doc", "key", "start", "windows", "content"])
 
     # rows that repeat whole have one content: the first of them is enough
     joined = some.join(lists, ["doc", "key"]).select("doc", "key", "text", "s").dropDuplicates(["doc", "key"])
-    return joined.mapInArrow(run, "anchor long, seg long, n long, hot boolean, doc long, key long, start int, windows int, content binary")
+    return joined.mapInArrow(run, "anchor long, seg long, n long, crowded boolean, doc long, key long, start int, windows int, content binary")
 
 
 JUDGED = "doc long, key long, spans array<struct<from:int,to:int>>"
@@ -197,28 +252,6 @@ def _judged(contents: DataFrame, params: RepeatParams) -> DataFrame:
     return dealt.select("anchor", "seg", "n", "doc", "key", "start", "windows", "content").mapInArrow(run, JUDGED)
 
 
-def _window_by_window(contents: DataFrame, params: RepeatParams) -> DataFrame:
-    """Spans of segments of crowded anchors: their windows are dealt by 128-bit hashes and counted."""
-    unit = np.uint64 if params.words else np.uint8
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for seg, n, doc, key, start, content in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                codes = np.frombuffer(content, unit)
-                w1 = Rolling(mix(codes.astype(np.uint64) + U64(1))).windows(params.width)
-                w2 = Rolling(mix(codes.astype(np.uint64) + U64(977))).windows(params.width)
-                k = len(w1)
-                yield pa.record_batch(
-                    [pa.array(signed(w1)), pa.array(signed(w2)), pa.array(np.full(k, n)), pa.array(np.full(k, doc)), pa.array(np.full(k, key)), pa.array(np.arange(start, start + k, dtype=np.int32))], names=["w1", "w2", "n", "doc", "key", "at"]
-                )
-
-    windows = materialize(contents.select("seg", "n", "doc", "key", "start", "content").mapInArrow(explode, "w1 long, w2 long, n long, doc long, key long, at int"), "windows")
-    often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter("all > 1").select("w1", "w2")
-    hits = windows.filter("n = 1").join(often, ["w1", "w2"], "left_semi")
-    span = F.struct(F.col("at").alias("from"), (F.col("at") + params.width).cast("int").alias("to"))
-    return hits.groupBy("doc", "key").agg(F.collect_list(span).alias("spans"))
-
-
 def split_documents(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, spans) of documents with spans, and those without (spans null); texts shuffle only where there are many."""
     spans = materialize(spans, "covered")

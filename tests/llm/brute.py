@@ -96,3 +96,8 @@ def phrases(docs, items, width=10):
                     found |= owners
         out.add((doc, len(w), sum(hit), len(found), sha(",".join(sorted(found))), any(hit)))
     return out
+
+
+def thue_morse(n=1024, swap=False):
+    """Letters a and b whose stretches cancel in polynomial hashes modulo 2**64."""
+    return "".join("ab"[(i.bit_count() & 1) ^ swap] for i in range(n))

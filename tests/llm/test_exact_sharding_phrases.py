@@ -106,3 +106,29 @@ def test_phrases_with_slack_and_without_items(spark):
     assert len(none) == 3 and not any(r.contaminated for r in none)
     repeated = frame(spark, [(1, "alpha beta gamma")] * 3)
     assert decontaminate.contamination(repeated, items).count() == 3
+
+
+def test_phrases_whose_polynomial_hashes_collide(spark):
+    docs = spark.createDataFrame([(1, brute.thue_morse()), (2, brute.thue_morse(swap=True))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, brute.thue_morse(swap=True))], "item_id long, text string")
+    assert {(r.doc_id, r.contaminated) for r in decontaminate.contamination(docs, items).collect()} == {(1, False), (2, True)}
+
+
+def test_an_index_serves_several_blocks_and_searches(spark):
+    docs = [(i, " ".join(f"w{(i * 7 + j) % 23}" for j in range(40))) for i in range(9)] + [(None, "w1 w2 w3"), (3, "w5"), (3, "w5")]
+    params = decontaminate.PhraseParams(window=3, block_windows=5, shard_bytes=300)
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string"), params)
+    for texts in (["w1 w2 w3 w4", "w5", "w9 w11"], [f"w{i} w{i + 1} w{i + 2}" for i in range(20)]):
+        items = [(i, t) for i, t in enumerate(texts)] + [(None, "w1"), (77, None), (78, "")]
+        found = decontaminate.search_all(index, decontaminate.item_windows(spark.createDataFrame(items, "item_id long, text string"), params), params).collect()
+        want = {(None if d < 0 else d, n, hit) for d, n, hit, *_ in brute.phrases([(-1 if d is None else d, t) for d, t in docs], [x for x in items if x[0] is not None], 3)}
+        assert {(r.doc_id, r.n_words, sum(r.runs[1::2]) - sum(r.runs[::2])) for r in found} == want and len(found) == len(docs)
+
+
+def test_rows_are_told_apart_without_doc_ids(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, key string, row int")
+    same = frame([(None, "a b", "x", 1), (None, "a b", "x", 2), (None, "ab", "x", 3), (1, "c", "x", 4), (1, "c  d", "x", 5), (2, "cd", "x", 6)])
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_copies(same).collect()) == [(0, "a b"), (1, "c"), (1, "c  d")]
+    docs = frame([(None, "one two bad", "x", 1), (1, "bad", "x", 2), (1, "clean", "x", 3), (None, "fine", "x", 4), (2, None, "x", 5)])
+    items = spark.createDataFrame([(1, "bad")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.drop_contaminated(docs, items).collect()) == [(0, "fine"), (1, "clean"), (2, "")]

@@ -37,17 +37,17 @@ def check(spark, module, params, docs, want, columns):
         assert {tuple(r) for r in got} == want and len(got) == len(docs)
 
 
-@pytest.mark.parametrize("width,gram,most", [(7, 3, 400), (7, 3, 1), (12, 12, 400)])
-def test_word_repeats_match_brute_force(spark, width, gram, most):
+@pytest.mark.parametrize("width,grams,most", [(7, (3, 5, 7), 400), (7, (3, 5, 7), 1), (12, (12,), 400), (12, (4, 9, 12), 2)])
+def test_word_repeats_match_brute_force(spark, width, grams, most):
     docs = texts(width)
-    params = dataclasses.replace(substring_dedup.PARAMS, width=width, gram=gram, most_segments=most, batch_units=300)
+    params = dataclasses.replace(substring_dedup.PARAMS, width=width, grams=grams, most_segments=most, batch_units=300)
     check(spark, substring_dedup, params, docs, brute.word_repeats(docs, width), ["doc_id", "n_words", "n_removed"])
 
 
-@pytest.mark.parametrize("width,gram,most", [(40, 9, 200), (40, 9, 1), (35, 12, 200)])
-def test_byte_repeats_match_brute_force(spark, width, gram, most):
+@pytest.mark.parametrize("width,grams,most", [(40, (9, 25, 40), 200), (40, (9, 25, 40), 1), (35, (12, 35), 200)])
+def test_byte_repeats_match_brute_force(spark, width, grams, most):
     docs = texts(width)
-    params = dataclasses.replace(suffix_dedup.PARAMS, width=width, gram=gram, most_segments=most, batch_units=900)
+    params = dataclasses.replace(suffix_dedup.PARAMS, width=width, grams=grams, most_segments=most, batch_units=900)
     check(spark, suffix_dedup, params, docs, brute.byte_repeats(docs, width), ["doc_id", "n_bytes", "n_removed", "n_spans"])
 
 
@@ -68,6 +68,13 @@ def test_rows_that_repeat_and_empty_tables(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_texts_whose_polynomial_hashes_collide(spark):
+    tail = " ".join(f"w{i}" for i in range(34))
+    docs = [(i, f"{brute.thue_morse(swap=bool(i))} {tail}") for i in range(2)]
+    check(spark, substring_dedup, substring_dedup.PARAMS, docs, brute.word_repeats(docs), ["doc_id", "n_words", "n_removed"])
+    check(spark, suffix_dedup, suffix_dedup.PARAMS, docs, brute.byte_repeats(docs), ["doc_id", "n_bytes", "n_removed", "n_spans"])
+
+
 @pytest.mark.parametrize("engine", [substring_dedup.automaton_engine, suffix_dedup.transform_engine])
 def test_engines_match_counting(engine):
     r = random.Random(3)
