@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lecturelake.llm._spark import byte_view, chunks, hinted, materialize, spread_join
+from lecturelake.llm._spark import ROWS_A_PART, byte_view, chunks, hinted, materialize, spread_join
 from lecturelake.llm._words import BYTE_CODES, SPACE_WORDS, Rolling, signed, sliding_min, split_words, stretches, word_codes
 
 Engine = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
@@ -42,7 +42,7 @@ class RepeatParams:
     engine: Engine
     batch_units: int
     """Words or bytes that an engine reads at once (or one larger anchor)."""
-    most_segments: int = 400
+    most_segments: int = 150
     """Distinct segments of an anchor that one task reads side by side."""
     chunk_bytes: int = 1_000_000
 
@@ -162,8 +162,9 @@ def covered(docs: DataFrame, params: RepeatParams) -> DataFrame:
 def _settled(docs: DataFrame, made: DataFrame, params: RepeatParams, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """Spans (doc, key, span) of repeated windows of the segments, and contents of those whose anchor is still crowded."""
     again = made.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("twice").alias("twice"))
-    again = materialize(again.filter("n > 1 or twice").select("anchor", (F.col("twice") | (F.col("low") != F.col("high"))).alias("mixed"), F.col("twice").alias("keep")), "anchors-again")
-    alive = materialize(made.drop("twice").join(hinted(again), "anchor"), "segments-alive")
+    rows = F.ceil(F.col("n") / ROWS_A_PART).cast("int").alias("parts")
+    again = materialize(again.filter("n > 1 or twice").select("anchor", (F.col("twice") | (F.col("low") != F.col("high"))).alias("mixed"), F.col("twice").alias("keep"), rows), "anchors-again")
+    alive = materialize(_of_anchors(made.drop("twice"), again), "segments-alive")
     whole = F.struct(F.col("start").alias("from"), (F.col("start") + F.col("windows") + params.width - 1).alias("to"))
     plain = alive.filter("not mixed").select("doc", "key", whole.alias("span"))
 
@@ -184,6 +185,14 @@ def _settled(docs: DataFrame, made: DataFrame, params: RepeatParams, last: bool
     return plain.unionByName(copied).unionByName(judged), contents.filter("crowded")
 
 
+def _of_anchors(made: DataFrame, again: DataFrame) -> DataFrame:
+    """Segments of the given anchors. Both sides grow with the corpus, so they shuffle at every size; an anchor of many segments is dealt in parts."""
+    hot = hinted(again.filter("parts > 1").select("anchor", "parts"))
+    dealt = made.join(hot, "anchor", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc", "key", "start"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = again.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(copies.hint("shuffle_hash"), ["anchor", "part"]).drop("part")
+
+
 def _contents(docs: DataFrame, open_segments: DataFrame, params: RepeatParams) -> DataFrame:
     """The words' codes or bytes of one place of each open segment."""
     where = open_segments.select("at.doc", "at.key", F.struct("anchor", "seg", "n", "crowded", F.col("at.start").alias("start"), F.col("at.windows").alias("windows")).alias("s"))
