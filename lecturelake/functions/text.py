@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 MATH_SYMBOLS = "=+-*/×÷^()[]{}<>∫∑√πΔ·.,:;%"
 
 
+#: Fixed value: the characters that Unicode counts as white space.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(text: Column) -> Column:
     """Text without white space (of any script) at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def casefold_key(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lecturelake.functions import text as T
 from lecturelake.params import LineParams
+from lecturelake.storage import bounded, written
 
 ORDER = ("frame_index", "line_no")
 
@@ -39,8 +40,8 @@ def noise_line_filter_math(lines: DataFrame, p: LineParams | None = None) -> Dat
     return noise_line_filter(lines, p, T.math_or_letter_count(T.trimmed(F.col("line"))))
 
 
-#: Width of the grams through which short candidates without an inner word look for longer lines.
-GRAM = 8
+#: Characters by which candidates of one word, and those of two, look for the tokens that may hold them.
+GRAM, AFFIX = 8, 4
 
 
 def subsumed_lines(lines: DataFrame, min_len: int = 8, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -48,36 +49,50 @@ def subsumed_lines(lines: DataFrame, min_len: int = 8, order: tuple[str, ...] =
 
     A candidate's inner tokens (all but the first and last, split at spaces) stand as whole tokens in any
     line that contains it. Lines are indexed by token, a candidate probes with its rarest inner token, and
-    what it meets is verified. Candidates of one or two words have no inner token; they probe with their
-    rarest gram of eight characters, against grams of lines that are looked up only for such candidates.
+    what it meets is verified. A candidate of two words, at least one of them ``AFFIX`` characters long, lies
+    in lines with a token that ends or starts with that word; one of a single word in lines with a token
+    around it. Such tokens are looked up among the distinct ones of a lesson. The index holds places and
+    lengths only, so that texts travel just for what must be verified.
     """
-    keyed = lines.select("lesson_id", *order, T.casefold_key(F.col("line")).alias("key")).filter(F.length("key") >= min_len)
-    holders = keyed.groupBy("lesson_id", "key").agg(F.lit(1).alias("one")).select("lesson_id", F.col("key").alias("holder"))
-    tokens = holders.select("lesson_id", "holder", F.explode(F.array_distinct(F.filter(F.split("holder", " "), lambda t: t != ""))).alias("token"))
-    often = tokens.groupBy("lesson_id", "token").agg(F.count("*").alias("often"))
+    keyed = lines.select("lesson_id", *order, T.casefold_key(F.col("line")).alias("key")).withColumn("size", F.length("key"))
+    keyed = written(keyed.filter(F.col("size") >= min_len), "board-keys")
     words = F.split("key", " ")
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda t: t != "")
-    asked = keyed.select("lesson_id", "key").distinct().withColumn("inner", inner)
-    probes = asked.filter(F.size("inner") > 0).select("lesson_id", "key", F.explode(F.array_distinct("inner")).alias("token"))
-    best = probes.join(often, ["lesson_id", "token"]).groupBy("lesson_id", "key").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
-    contains = (F.length("holder") > F.length("key")) & F.contains(F.col("holder"), F.col("key"))
-    by_token = best.join(tokens, ["lesson_id", "token"]).filter(contains).select("lesson_id", "key")
-
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))
-    short = asked.filter(F.size("inner") == 0).select("lesson_id", "key")
-    long_enough = short.filter(F.length("key") >= GRAM).select("lesson_id", "key", F.explode(grams(F.col("key"))).alias("gram"))
-    wanted = long_enough.select("lesson_id", "gram").distinct()
-    indexed = holders.filter(F.length("holder") > GRAM).select("lesson_id", "holder", F.explode(grams(F.col("holder"))).alias("gram")).join(wanted, ["lesson_id", "gram"], "left_semi")
-    gram_often = indexed.groupBy("lesson_id", "gram").agg(F.count("*").alias("often"))
-    best_gram = long_enough.join(gram_often, ["lesson_id", "gram"]).groupBy("lesson_id", "key").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
-    by_gram = best_gram.join(indexed, ["lesson_id", "gram"]).filter(contains).select("lesson_id", "key")
-    tiny = short.filter(F.length("key") < GRAM).join(holders, "lesson_id").filter(contains).select("lesson_id", "key")  # only where min_len is under the gram
-    gone = by_token.unionByName(by_gram) if min_len >= GRAM else by_token.unionByName(by_gram).unionByName(tiny)
-    return keyed.join(gone.distinct(), ["lesson_id", "key"], "left_semi").select("lesson_id", *order)
+    split = keyed.select("lesson_id", F.struct(*order).alias("at"), "size", F.array_distinct(F.filter(words, lambda t: t != "")).alias("words"), inner.alias("inner"))
+    index = split.select("lesson_id", "at", "size", "inner", F.explode("words").alias("token")).withColumn("within", F.array_contains("inner", F.col("token"))).drop("inner")
+    index = written(index, "board-index")
+    often = written(index.groupBy("lesson_id", "token").agg(F.count("*").alias("often")), "board-tokens")
+    asked = index.filter("within").join(often, ["lesson_id", "token"]).groupBy("lesson_id", "at").agg(F.min_by("token", F.struct("often", "token")).alias("token"), F.first("size").alias("asked"))
+
+    short = keyed.select("lesson_id", F.struct(*order).alias("at"), F.col("size").alias("asked"), "key", words.alias("words"), F.size(inner).alias("inner")).filter("inner = 0").drop("inner")
+    short = bounded(written(short, "board-short"))
+    tokens = often.select("lesson_id", "token")
+    first, last = F.element_at("words", 1), F.element_at("words", -1)
+    leads = F.length(first) >= F.length(last)
+    one = short.filter((F.size("words") == 1) & (F.col("asked") >= GRAM)).select("lesson_id", "at", "asked", "key", F.substring("key", 1, GRAM).alias("gram"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - GRAM + 1), lambda i: F.substring("token", i, F.lit(GRAM))))
+    around = tokens.filter(F.length("token") >= GRAM).select("lesson_id", "token", F.explode(grams).alias("gram"))
+    by_one = one.join(around, ["lesson_id", "gram"]).filter(F.contains(F.col("token"), F.col("key")))
+    two = short.filter((F.size("words") > 1) & (F.greatest(F.length(first), F.length(last)) >= AFFIX)).select("lesson_id", "at", "asked", leads.alias("leads"), F.when(leads, first).otherwise(last).alias("word"))
+    two = two.withColumn("affix", F.when(F.col("leads"), F.right(F.col("word"), F.lit(AFFIX))).otherwise(F.left(F.col("word"), F.lit(AFFIX))))
+    sided = tokens.filter(F.length("token") >= AFFIX).select("lesson_id", "token", F.explode(F.array(F.struct(F.lit(True).alias("leads"), F.right(F.col("token"), F.lit(AFFIX)).alias("affix")), F.struct(F.lit(False).alias("leads"), F.left(F.col("token"), F.lit(AFFIX)).alias("affix")))).alias("s")).select("lesson_id", "token", "s.leads", "s.affix")
+    by_two = two.join(sided, ["lesson_id", "leads", "affix"]).filter(F.when(F.col("leads"), F.endswith(F.col("token"), F.col("word"))).otherwise(F.startswith(F.col("token"), F.col("word"))))
+    probes = asked.select("lesson_id", "at", "asked", "token").unionByName(by_one.select("lesson_id", "at", "asked", "token")).unionByName(by_two.select("lesson_id", "at", "asked", "token"))
+
+    pairs = probes.join(index.select("lesson_id", "token", F.col("at").alias("holder_at"), F.col("size").alias("held")), ["lesson_id", "token"]).filter("held > asked").select("lesson_id", "at", "holder_at")
+    texts = keyed.select("lesson_id", F.struct(*order).alias("at"), "key")
+    met = pairs.join(texts.select("lesson_id", F.col("at").alias("holder_at"), F.col("key").alias("holder")), ["lesson_id", "holder_at"]).join(texts, ["lesson_id", "at"])
+    if min_len < GRAM:  # words too short for the looks above meet every longer line
+        tiny = keyed.select("lesson_id", F.struct(*order).alias("at"), "key", words.alias("words"), F.size(inner).alias("inner")).filter("inner = 0")
+        tiny = tiny.filter(((F.size("words") == 1) & (F.length("key") < GRAM)) | ((F.size("words") > 1) & (F.greatest(F.length(first), F.length(last)) < AFFIX))).select("lesson_id", "at", "key")
+        met = met.unionByName(tiny.join(texts.select("lesson_id", F.col("at").alias("holder_at"), F.col("key").alias("holder")), "lesson_id").select(*met.columns))
+    gone = met.filter((F.length("holder") > F.length("key")) & F.contains(F.col("holder"), F.col("key"))).select("lesson_id", "key").distinct()
+    return keyed.join(gone, ["lesson_id", "key"], "left_semi").select("lesson_id", *order)
 
 
 def substring_dedupe(lines: DataFrame, min_len: int = 8, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Lines without those that a longer line of the lesson contains; short lines stay, equal lines both stay."""
+    lines = written(lines, "board-lines")  # read several times below
     return lines.join(subsumed_lines(lines, min_len, order), ["lesson_id", *order], "left_anti")
 
 

@@ -29,22 +29,21 @@ def _bigrams(texts: DataFrame, key: str) -> DataFrame:
 
 
 def bigram_model(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of word pairs, of words in front of others, and the number of distinct words, from texts (id, text)."""
-    pairs = _bigrams(corpus, corpus.columns[0])
-    counts = pairs.groupBy("before", "word").agg(F.count("*").alias("pair_n"))
-    before = pairs.groupBy("before").agg(F.count("*").alias("before_n"))
-    size = pairs.agg(F.count_distinct("word").alias("v"), F.lit(1).alias("one"))
-    return counts, before, size
+    """Counts of word pairs, of words in front of others, and the number of distinct words (one row), from texts (id, text)."""
+    counts = _bigrams(corpus, corpus.columns[0]).groupBy("before", "word").agg(F.count("*").alias("pair_n"))
+    before = counts.groupBy("before").agg(F.sum("pair_n").alias("before_n"))
+    return counts, before, counts.agg(F.count_distinct("word").alias("v"))
 
 
 def paragraph_perplexity(texts: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """key, perplexity: exp of the mean negative log-likelihood of a text's words, with one added to every count.
 
-    A text without words has an infinite one. Pairs are counted per text before they meet the model.
+    A text without words has an infinite one. Pairs are counted per text before they meet the model, in which
+    each pair has its row's count and that of its first word.
     """
     counts, before, size = bigram_model(corpus)
     mine = _bigrams(texts, key).groupBy(key, "before", "word").agg(F.count("*").alias("n"))
-    p = (F.coalesce("pair_n", F.lit(0)) + 1) / (F.coalesce("before_n", F.lit(0)) + F.col("v"))
-    scored = mine.join(counts, ["before", "word"], "left").join(before, "before", "left").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")  # size is one row
+    p = (F.coalesce("pair_n", F.lit(0)) + 1) / (F.coalesce("before_n", F.lit(0)) + size.scalar())
+    scored = mine.join(counts, ["before", "word"], "left").join(before, "before", "left")
     each = scored.groupBy(key).agg(F.exp(F.sum(-F.log(p) * F.col("n")) / F.sum("n")).alias("perplexity"))
     return texts.select(key).distinct().join(each, key, "left").select(key, F.coalesce("perplexity", F.lit(float("inf"))).alias("perplexity"))

@@ -23,6 +23,18 @@ def lines(t: Tables) -> DataFrame:
     return d.withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def indexed_lines(t: Tables) -> DataFrame:
+    """lesson_id, frame_index, line_index, line: all lines, numbered over a lesson. Numbers come from sums over blocks of documents, so that no task sorts a lesson."""
+    d = t.documents.select(F.col("source").alias("lesson_id"), F.col("doc_id").alias("frame_index"), F.floor(F.col("doc_id") / 1000).alias("block"), F.split("text", "\n").alias("held"))
+    d = d.withColumn("n", F.coalesce(F.size("held"), F.lit(0)))
+    sums = d.groupBy("lesson_id", "block").agg(F.sum("n").alias("of_block"))
+    before = sums.select("lesson_id", "block", (F.sum("of_block").over(Window.partitionBy("lesson_id").orderBy("block")) - F.col("of_block")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("lesson_id", "block").orderBy("frame_index")) - F.col("n")
+    placed = d.withColumn("first", inside).join(before, ["lesson_id", "block"])
+    rows = placed.select("lesson_id", "frame_index", (F.col("before") + F.col("first")).alias("first"), F.posexplode("held").alias("i", "line"))
+    return rows.select("lesson_id", "frame_index", (F.col("first") + F.col("i")).alias("line_index"), "line")
+
+
 LINES = r"""lines AS (SELECT d.source AS lesson_id, d.doc_id AS frame_index, u.n - 1 AS line_no, u.line AS line
   FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(line, n))"""
 

@@ -119,7 +119,7 @@ def scan_probe_csv_fallback(t):
 
 @query(
     "scan_media_manifest",
-    """WITH f AS (SELECT o_custkey AS lesson_id, CASE o_orderkey % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'image' ELSE 'audio' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'wav' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'mp4' WHEN 1 THEN 'png' ELSE 'mp3' END END AS ending, CAST(floor(o_totalprice) AS BIGINT) % 500 AS length FROM orders WHERE o_orderkey % 10 < 2),
+    """WITH f AS (SELECT o_orderkey // 2 AS lesson_id, CASE o_orderkey % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'image' ELSE 'audio' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'wav' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'mp4' WHEN 1 THEN 'png' ELSE 'mp3' END END AS ending, CAST(floor(o_totalprice) AS BIGINT) % 500 AS length FROM orders),
  s AS (SELECT lesson_id, count(*) FILTER (kind = 'video') AS v, count(*) FILTER (kind = 'image') AS i, count(*) FILTER (kind = 'audio') AS a, count(*) FILTER (length < 32) AS short, count(*) FILTER (kind = 'audio' AND ending <> 'mp3') AS ba, count(*) FILTER (kind = 'video' AND ending NOT IN ('mp4', 'mov', 'avi', 'mkv')) AS bv FROM f GROUP BY 1),
  r AS (SELECT lesson_id, CASE WHEN v > 0 AND i + a > 0 THEN 'video together with image or audio' WHEN v <> 1 AND NOT (i = 1 AND a = 1) THEN 'needs one video, or one image and one audio' WHEN short > 0 THEN 'file too short' WHEN ba > 0 THEN 'audio type' WHEN bv > 0 THEN 'video type' END AS reason FROM s)
 SELECT lesson_id, reason IS NULL AS accepted, reason FROM r""",
@@ -128,5 +128,5 @@ def scan_media_manifest(t):
     key = F.col("o_orderkey")
     kind = F.element_at(F.array(F.lit("video"), F.lit("image"), F.lit("audio")), (key % 3 + 1).cast("int"))
     ending = F.when(key % 4 == 0, "wav").otherwise(F.element_at(F.array(F.lit("mp4"), F.lit("png"), F.lit("mp3")), (key % 3 + 1).cast("int")))
-    files = t.orders.filter(key % 10 < 2).select(F.col("o_custkey").alias("lesson_id"), kind.alias("kind"), F.concat(F.lit("up/"), "o_orderkey", F.lit("."), ending).alias("path"), (F.floor("o_totalprice") % 500).alias("length"))
+    files = t.orders.select(F.floor(key / 2).alias("lesson_id"), kind.alias("kind"), F.concat(F.lit("up/"), "o_orderkey", F.lit("."), ending).alias("path"), (F.floor("o_totalprice") % 500).alias("length"))
     return media.manifest_rows(files)

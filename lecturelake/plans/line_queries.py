@@ -9,7 +9,7 @@ from lecturelake.functions import text as X
 from lecturelake.functions.numeric import alignment_verdict, cosine_similarity
 from lecturelake.operators import alignment, answers, assemble, lines, models
 from lecturelake.params import AlignmentParams, LineParams
-from lecturelake.plans.bindings import BOARDS, LINES, SPEECH, UNION, Tables, key_sql, speech, trim_sql
+from lecturelake.plans.bindings import BOARDS, LINES, SPEECH, UNION, Tables, indexed_lines, key_sql, speech, trim_sql
 from lecturelake.plans.bindings import lines as board_lines
 from lecturelake.plans.registry import query
 
@@ -94,10 +94,11 @@ def tokens_sql(x: str) -> str:
     return rf"list_distinct(list_concat(list_concat(regexp_extract_all(lower({x}), '[a-z]+'), regexp_extract_all(lower({x}), '[\x{{4e00}}-\x{{9fff}}]')), regexp_extract_all(lower({x}), '\p{{Nd}}+')))"
 
 
-@query("tokenize_mixed", f"WITH {PAIRS}, s AS (SELECT lesson_id, list_sort({tokens_sql('board')}) AS w FROM pairs) SELECT lesson_id, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS tokens FROM s")
+@query("tokenize_mixed", f"WITH {PAIRS} SELECT lesson_id, unnest({tokens_sql('board')}) AS token FROM pairs")
 def tokenize_mixed(t):
-    sets = pairs(t).select("lesson_id", F.array_sort(X.tokenize_mixed(F.col("board"))).alias("w"))
-    return sets.select("lesson_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("tokens"))
+    board = merged(t)
+    spoken = speech(t).filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("lesson_id").distinct()
+    return alignment.line_tokens(board.join(spoken, "lesson_id", "left_semi"), "line")
 
 
 SETS = f"""{PAIRS}, sets AS (SELECT lesson_id, {tokens_sql('board')} AS a, {tokens_sql('speech')} AS b FROM pairs),
@@ -107,18 +108,21 @@ SETS = f"""{PAIRS}, sets AS (SELECT lesson_id, {tokens_sql('board')} AS a, {toke
 
 @query("token_set_ops", f"WITH {SETS} SELECT lesson_id, CAST(shared AS BIGINT) AS shared, CAST(joined AS BIGINT) AS joined FROM rates")
 def token_set_ops(t):
-    a, b = X.tokenize_mixed(F.col("board")), X.tokenize_mixed(F.col("speech"))
-    sets = pairs(t).select("lesson_id", a.alias("a"), b.alias("b"))
-    return sets.select("lesson_id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.size(F.array_union("a", "b")).cast("long").alias("joined"))
+    return overlaps(t).select("lesson_id", "shared", "joined")
+
+
+def overlaps(t: Tables) -> DataFrame:
+    return alignment.line_overlap(merged(t), speech(t))
 
 
 @query("keyword_overlap", f"WITH {SETS} SELECT lesson_id, round(overlap, 6) AS overlap FROM rates")
 def keyword_overlap(t):
-    return alignment.keyword_overlap(pairs(t)).select("lesson_id", F.round("overlap", 6).alias("overlap"))
+    return overlaps(t).select("lesson_id", F.round("overlap", 6).alias("overlap"))
 
 
-# the vectors of a lesson src<n>: those with ids n and n + 20
-COSINE = """vectors AS (SELECT 'src' || a.vec_id AS lesson_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 20 WHERE a.vec_id < 20),
+# the vectors of a lesson src<n>: the means of those with ids n modulo 20, by turns one for the board and 20 for speech
+COSINE = """parts AS (SELECT 'src' || (vec_id % 20) AS lesson_id, (vec_id // 20) % 2 AS side, u.i AS i, avg(CAST(u.v AS DOUBLE)) AS m FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, i) GROUP BY ALL),
+ vectors AS (SELECT lesson_id, list(m ORDER BY i) FILTER (side = 0) AS x, list(m ORDER BY i) FILTER (side = 1) AS y FROM parts GROUP BY lesson_id),
  dots AS (SELECT lesson_id, list_sum(list_transform(list_zip(x, y), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS xy,
   list_sum(list_transform(x, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))) AS xx, list_sum(list_transform(y, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))) AS yy FROM vectors),
  cosines AS (SELECT lesson_id, greatest(0.0, least(1.0, xy / (sqrt(xx) * sqrt(yy) + 1e-8))) AS similarity FROM dots)"""
@@ -127,10 +131,11 @@ VERDICT_SQL = "CASE WHEN similarity >= 0.1 AND overlap >= 0.07 THEN 'highly_alig
 
 
 def vectors(t: Tables) -> DataFrame:
-    v = t.embeddings
-    a = v.filter("vec_id < 20").select("vec_id", F.concat(F.lit("src"), "vec_id").alias("lesson_id"), F.col("embedding").alias("board_vector"))
-    b = v.filter("vec_id >= 20 and vec_id < 40").select((F.col("vec_id") - 20).alias("vec_id"), F.col("embedding").alias("speech_vector"))
-    return a.join(b, "vec_id").drop("vec_id")
+    """Mean vectors of a lesson's sides, over all embeddings."""
+    v = t.embeddings.select(F.concat(F.lit("src"), F.col("vec_id") % 20).alias("lesson_id"), (F.floor(F.col("vec_id") / 20) % 2).alias("side"), F.posexplode("embedding").alias("i", "v"))
+    means = v.groupBy("lesson_id", "side", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    side = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("i", "m")))), lambda x: x["m"])
+    return means.groupBy("lesson_id").agg(side(0).alias("board_vector"), side(1).alias("speech_vector"))
 
 
 @query("cosine_similarity", """WITH v AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
@@ -145,7 +150,7 @@ def cosine(t):
 
 @query("compare_board_speech", f"WITH {SETS}, {COSINE} SELECT lesson_id, round(similarity, 4) AS similarity, round(overlap, 4) AS overlap, {VERDICT_SQL} AS verdict FROM rates JOIN cosines USING (lesson_id)")
 def compare_board_speech(t):
-    return alignment.compare_board_speech(pairs(t), vectors(t), VERDICT)
+    return alignment.compare_board_speech(overlaps(t), vectors(t), VERDICT)
 
 
 @query("alignment_verdict", "SELECT l_returnflag, l_linestatus, v AS verdict, count(*) AS n FROM (SELECT *, CASE WHEN l_discount * 10 >= 0.72 AND l_tax * 10 >= 0.35 THEN 'highly_aligned' WHEN l_discount * 10 >= 0.45 OR l_tax * 10 >= 0.2 THEN 'partially_related' ELSE 'content_mismatch' END AS v FROM lineitem) GROUP BY ALL")
@@ -226,17 +231,17 @@ def line_filter_prompts(t):
     return m.select("lesson_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 
-# documents of quality 1 stand for kept lines: a lesson is a source, a line is a document
-def document_lines(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("source").alias("lesson_id"), F.col("doc_id").alias("line_index"), F.substring_index("text", "\n", 1).alias("line"))
+# lines of documents of quality 1 stand for kept lines: a lesson is a source, its lines are numbered over all of its documents
+def kept_ids(t: Tables) -> DataFrame:
+    good = t.labels.filter("quality = 1").select(F.col("doc_id").alias("frame_index"))
+    return indexed_lines(t).join(good, "frame_index").select("lesson_id", "line_index")
 
 
-def kept_ids(t: Tables) -> DataFrame:
-    good = t.labels.filter("quality = 1").select("doc_id")
-    return t.documents.join(good, "doc_id").select(F.col("source").alias("lesson_id"), F.col("doc_id").alias("line_index"))
+def document_lines(t: Tables) -> DataFrame:
+    return indexed_lines(t).select("lesson_id", "line_index", "line")
 
 
-KEPT = "kept AS (SELECT DISTINCT d.source AS lesson_id, d.doc_id AS line_index FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1), doc_lines AS (SELECT source AS lesson_id, doc_id AS line_index, split_part(text, chr(10), 1) AS line FROM documents)"
+KEPT = f"{LINES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY frame_index, line_no) - 1 AS line_index FROM lines), doc_lines AS (SELECT lesson_id, line_index, line FROM numbered), kept AS (SELECT DISTINCT lesson_id, line_index FROM numbered JOIN labels ON doc_id = frame_index WHERE quality = 1)"
 
 
 @query("kept_index_join", f"WITH {KEPT} SELECT doc_lines.* FROM doc_lines JOIN kept USING (lesson_id, line_index)")
@@ -249,9 +254,13 @@ def dropped_lines(t):
     return lines.dropped_lines(document_lines(t), kept_ids(t))
 
 
+#: Lines of a lesson that the filter is asked about.
+SENT = 120
+
+
 def filter_answers(t: Tables) -> DataFrame:
-    """An answer a source: an array of kept ids, but none for src1 and src2, no array for src3, and nonsense for src4."""
-    ids = kept_ids(t).groupBy("lesson_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("line_index")), lambda i: i.cast("string")), ",").alias("ids"))
+    """An answer a source: an array of the kept ids that were sent, but none for src1, an empty one for src2, no array for src3, and nonsense for src4."""
+    ids = kept_ids(t).filter(F.col("line_index") < SENT).groupBy("lesson_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("line_index")), lambda i: i.cast("string")), ",").alias("ids"))
     said = F.when(F.col("lesson_id") == "src3", '{"kept_indices": "all"}').when(F.col("lesson_id") == "src4", '{"kept_indices": [-1, null, "x"]}').when(F.col("lesson_id") == "src2", '{"kept_indices": []}')
     return ids.filter("lesson_id <> 'src1'").select("lesson_id", F.coalesce(said, F.concat(F.lit('{"kept_indices": ['), "ids", F.lit("]}"))).alias("answer"))
 
@@ -260,11 +269,11 @@ def filter_answers(t: Tables) -> DataFrame:
     "apply_kept_indices",
     f"""WITH {KEPT}, r AS (SELECT lesson_id, line_index, {squeeze_sql(singles_sql(ascii_sql('line')))} AS line,
  CASE lesson_id WHEN 'src3' THEN 'kept_indices is not an array' WHEN 'src4' THEN 'no valid index' END AS error FROM doc_lines
- WHERE line_index >= 500 OR lesson_id IN ('src1', 'src3', 'src4') OR (lesson_id <> 'src2' AND (lesson_id, line_index) IN (SELECT (lesson_id, line_index) FROM kept)))
+ WHERE line_index >= 120 OR lesson_id IN ('src1', 'src3', 'src4') OR (lesson_id <> 'src2' AND (lesson_id, line_index) IN (SELECT (lesson_id, line_index) FROM kept)))
 SELECT * FROM r WHERE line <> ''""",
 )
 def apply_kept_indices(t):
-    return answers.apply_kept_indices(document_lines(t), filter_answers(t), LineParams(filter_max_lines=500))
+    return answers.apply_kept_indices(document_lines(t), filter_answers(t), LineParams(filter_max_lines=SENT))
 
 
 @query("llm_fallback", f"WITH {KEPT}, f AS (SELECT doc_lines.* FROM doc_lines JOIN kept USING (lesson_id, line_index) WHERE lesson_id NOT IN ('src5', 'src6')) SELECT * FROM f UNION ALL SELECT * FROM doc_lines WHERE lesson_id IN ('src5', 'src6')")
@@ -298,7 +307,7 @@ def paragraph_perplexity(t):
 def report_lessons(t: Tables) -> DataFrame:
     """A lesson a source: its deduplicated board lines, transcript, verdict, and made-up clarity and errors for some."""
     board = lines.substring_dedupe(merged(t).select(*PLACE, "line")).groupBy("lesson_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "line_no", "line"))), lambda x: x["line"]).alias("board_lines"))
-    verdict = alignment.compare_board_speech(pairs(t), vectors(t), VERDICT).select("lesson_id", "verdict").filter("lesson_id <> 'src3'")
+    verdict = alignment.compare_board_speech(overlaps(t), vectors(t), VERDICT).select("lesson_id", "verdict").filter("lesson_id <> 'src3'")
     base = t.documents.select(F.col("source").alias("lesson_id")).distinct()
     odd = F.col("lesson_id").isin("src1", "src2")
     sides = base.select("lesson_id", F.when(~odd, "fair").alias("clarity"), F.lit("50").alias("score"), F.lit("Write larger.").alias("suggestion"), F.lit("81").alias("laplacian_variance"), F.lit("2").alias("stroke_width_variance"), F.lit("0.5").alias("similarity"), F.lit("0.25").alias("overlap"), F.when(odd, F.create_map(F.lit("module_c"), F.lit("no audio"))).alias("errors"))

@@ -142,17 +142,17 @@ METHOD = "CASE l_linenumber % 4 WHEN 0 THEN 'full_frame' WHEN 1 THEN 'yolo' WHEN
 
 @query(
     "ocr_diagnostics",
-    f"""WITH k AS (SELECT l_suppkey AS s, coalesce({METHOD}, 'unknown') AS m, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS p, CAST(l_quantity AS BIGINT) % 3 AS n FROM lineitem WHERE l_suppkey % 7 <> 0),
+    f"""WITH k AS (SELECT l_suppkey AS s, coalesce({METHOD}, 'unknown') AS m, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS p, CAST(l_quantity AS BIGINT) % 3 AS n FROM lineitem),
  a AS (SELECT s, count(*) AS k, sum(p) AS p, sum(n) AS n, count(*) FILTER (m IN ('full_frame', 'heuristic')) AS w, count(*) FILTER (m = 'yolo') AS y FROM k GROUP BY s)
 SELECT s_suppkey AS lesson_id, CASE WHEN k IS NULL THEN 'no_keyframes' WHEN w >= k * 0.45 THEN 'localization' WHEN p >= k * 0.35 THEN 'mixed_fullframe_ocr' WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AND s_suppkey * 3 > greatest(80, 2 * s_suppkey) THEN 'harvest_full_frame_noise'
- WHEN n / k < 0.75 THEN 'recognition_or_sparse_board' ELSE 'healthy_or_merge_noise' END AS issue, coalesce(k, 0) AS keyframes, CAST(coalesce(p, 0) AS BIGINT) AS printed, y AS yolo, round(n / k, 4) AS lines_per_keyframe FROM supplier LEFT JOIN a ON s = s_suppkey""",
+ WHEN n / k < 0.75 THEN 'recognition_or_sparse_board' ELSE 'healthy_or_merge_noise' END AS issue, coalesce(k, 0) AS keyframes, CAST(coalesce(p, 0) AS BIGINT) AS printed, y AS yolo, round(n / k, 4) AS lines_per_keyframe, s_suppkey % 2 = 0 AS harvest_ran, s_suppkey % 3 <> 0 AS harvest_full_frame, s_suppkey * 3 AS lines_before, s_suppkey AS lines_after FROM supplier LEFT JOIN a ON s = s_suppkey""",
 )
 def ocr_diagnostics(t):
-    k = t.lineitem.filter("l_suppkey % 7 <> 0").select(F.col("l_suppkey").alias("lesson_id"), F.expr(METHOD).alias("roi_method"), F.when(F.col("l_returnflag") == "R", "printed_full_frame").otherwise("roi").alias("ocr_source"), (F.col("l_quantity").cast("long") % 3).alias("n_lines"))
+    k = t.lineitem.select(F.col("l_suppkey").alias("lesson_id"), F.expr(METHOD).alias("roi_method"), F.when(F.col("l_returnflag") == "R", "printed_full_frame").otherwise("roi").alias("ocr_source"), (F.col("l_quantity").cast("long") % 3).alias("n_lines"))
     s = F.col("s_suppkey")
     lessons = t.supplier.select(s.alias("lesson_id"), (s % 2 == 0).alias("harvest_ran"), (s % 3 != 0).alias("harvest_full_frame"), (s * 3).alias("lines_before"), s.alias("lines_after"))
     found = assemble.ocr_diagnostics(lessons, k)
-    return found.select("lesson_id", "issue", "keyframes", "printed", F.col("roi_method_counts")["yolo"].alias("yolo"), "lines_per_keyframe")
+    return found.select("lesson_id", "issue", "keyframes", "printed", F.col("roi_method_counts")["yolo"].alias("yolo"), "lines_per_keyframe", "harvest_ran", "harvest_full_frame", "lines_before", "lines_after")
 
 
 @query(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lecturelake.plans.audio_queries import P, SEGMENTS
 from lecturelake.plans.bindings import LINES, Tables, frames, key_sql, lines, windows
 from lecturelake.plans.frame_queries import KEYFRAMES, WALK
 from lecturelake.plans.registry import query
+from lecturelake.storage import shared_folder
 from lecturelake.streaming import stateful
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,18 +23,15 @@ class StreamTables(Tables):
         return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern, as a table may be a file or a folder
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lecturelake-shared"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """Everything that a stream gives of the rows that are there now, as a written table."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    folder = _folder(spark)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)
+    folder = shared_folder(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -51,7 +47,7 @@ def stream_keyframes(t):
 
 @query("stream_silence_segments", f"WITH RECURSIVE {SEGMENTS} SELECT clip_id, seg_no, first, last, n, round(sum_sq, 4) AS sum_sq FROM segments")
 def stream_silence_segments(t):
-    folder = _folder(t.spark)
+    folder = shared_folder(t.spark, "stream")
     rows = windows(t).select("clip_id", "window_no", "n", "sum_sq")
     rows.write.parquet(folder)  # windows are numbered over all events, which a stream can't do
     stream = t.spark.readStream.schema(rows.schema).parquet(folder)
