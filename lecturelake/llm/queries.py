@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelake.llm import chat, decontaminate, exact_dedup, near_join, pieces, quality, sharding, substring_dedup, suffix_dedup, url_filter
+from lecturelake.llm import chat, decontaminate, exact_dedup, near_join, oracles, pieces, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.query,
@@ -23,4 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op9_decontamination": oracles.DECONTAMINATION,
 }
