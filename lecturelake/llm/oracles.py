@@ -62,3 +62,48 @@ t AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
 FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+# the checksum byte by byte, with its table by the rule that makes it; then the least capacity by halving, each time with a greedy fill
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+
+SHARDING = f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab), {_BYTES},
+bytes AS (SELECT doc_id, list(CAST('0x' || byte AS BIGINT) ORDER BY pos) AS l FROM y GROUP BY doc_id),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, l), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM bytes, tab),
+d AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(crc, 0) AS crc, substr(md5(coalesce(text, chr(0) || 'null')), 1, 15) AS key FROM documents LEFT JOIN crc USING (doc_id)),
+g AS MATERIALIZED (SELECT key, CAST(sum(size) AS BIGINT) AS size, CAST(sum(sum(size)) OVER (ORDER BY key) AS BIGINT) AS till FROM d GROUP BY key),
+a AS MATERIALIZED (SELECT max(till) AS total, greatest(max(size), CAST(ceil(max(till) / 16) AS BIGINT)) - 1 AS low FROM g),
+f AS (SELECT low AS lo, total AS hi, (low + total) // 2 AS mid, 0 AS shard, 0::BIGINT AS at, 0 AS done FROM a
+ UNION ALL SELECT CASE WHEN last AND till < total THEN mid ELSE lo END, CASE WHEN last AND till >= total THEN mid ELSE hi END,
+  CASE WHEN last THEN (CASE WHEN till < total THEN mid + hi ELSE lo + mid END) // 2 ELSE mid END, CASE WHEN last THEN 0 ELSE shard + 1 END, CASE WHEN last THEN 0 ELSE till END, 0
+ FROM (SELECT *, (SELECT coalesce(max(till), 0) FROM g WHERE till <= f.at + f.mid) AS till, shard = 15 AS last FROM f, a WHERE hi - lo > 1)),
+cap AS MATERIALIZED (SELECT min(hi) AS cap FROM f),
+s AS (SELECT 0 AS shard, 0::BIGINT AS at, (SELECT coalesce(max(till), 0) FROM g, cap WHERE till <= cap) AS till
+ UNION ALL SELECT shard + 1, till, (SELECT coalesce(max(g.till), 0) FROM g, cap WHERE g.till <= s.till + cap) FROM s WHERE shard < 15)
+SELECT doc_id, d.size, crc AS text_crc32, 'bytes' AS law, s.shard, row_number() OVER (PARTITION BY s.shard ORDER BY doc_id % 256, doc_id, d.size, crc) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN g USING (key) JOIN s ON g.till > s.at AND g.till <= s.till
+"""
+
+
+def url_filters(rules: tuple[tuple[str, str], ...], damping: float, factor: float, floor: float, rounds: int = 200) -> str:
+    """Rules by their text; ranks by so many plain rounds. The pages' absolute links and the bonds of hosts are the edges."""
+    listed = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in rules)
+    host = lambda url: f"translate(regexp_extract(CASE WHEN {url} LIKE '%://%' THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE rules(verdict, rule, h, p) AS (VALUES {listed}),
+u AS MATERIALIZED (SELECT page_id, html, {host("coalesce(url, '')")} AS host, regexp_extract(CASE WHEN coalesce(url, '') LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1) AS path FROM documents_pages),
+fit AS (SELECT page_id, host, path, max_by(rule, (length(rule), rule)) AS rule, max_by(verdict, (length(rule), rule)) AS verdict FROM u JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY ALL),
+j AS MATERIALIZED (SELECT u.*, rule, verdict FROM u LEFT JOIN fit USING (page_id)),
+links AS (SELECT host AS src, {host("CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END")} AS dst, 1.0::DOUBLE AS w FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)href\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1))) AS t FROM u)),
+labels AS (SELECT host, string_split(host, '.') AS l FROM (SELECT DISTINCT host FROM u) WHERE regexp_matches(host, '^[^.]+(\.[^.]+)*\.[^.\d][^.]*$')),
+bonds AS (SELECT host AS src, array_to_string(l[len(l) - i.n + 1:], '.') AS dst, 1.0 / (len(l) - 2) AS w FROM labels, unnest(range(2, len(l))) AS i(n)),
+edges AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM links UNION ALL SELECT * FROM bonds UNION ALL SELECT dst, src, w FROM bonds) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+shares AS MATERIALIZED (SELECT 'good' AS kind, src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM edges UNION ALL SELECT 'bad', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM edges),
+counts AS (SELECT host, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad FROM j WHERE host <> '' GROUP BY host),
+seeds AS MATERIALIZED (SELECT 'good' AS kind, host, good / (good + bad) AS seed FROM counts WHERE good > 0 UNION ALL SELECT 'bad', host, bad / (good + bad) FROM counts WHERE bad > 0),
+walk AS (SELECT 0 AS n, kind, host, CAST(seed AS DOUBLE) AS rank FROM seeds
+ UNION ALL SELECT n, kind, host, sum(rank) FROM (SELECT n + 1 AS n, walk.kind, dst AS host, rank * share * {damping} AS rank FROM walk JOIN shares ON shares.kind = walk.kind AND src = host
+  UNION ALL SELECT (SELECT min(n) + 1 FROM walk), kind, host, seed * {1 - damping} FROM seeds) WHERE n <= {rounds} GROUP BY ALL),
+judged AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'good'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'bad'), 0) AS distrust FROM walk WHERE n = {rounds} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > {factor} * trust AND distrust > {floor} THEN 'block' END, 'allow') AS verdict FROM j LEFT JOIN judged USING (host)
+""".replace("documents_pages", "pages")

@@ -25,6 +25,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op1_ngram_join": oracles.NGRAM_JOIN,
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_url_filters": oracles.url_filters(url_filter.RULES, url_filter.UrlParams.damping, url_filter.UrlParams.factor, url_filter.UrlParams.floor),
+    "op5_sharding": oracles.SHARDING,
     "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op9_decontamination": oracles.DECONTAMINATION,
 }

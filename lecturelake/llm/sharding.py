@@ -1,13 +1,15 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
-Documents with equal texts form one atomic group; groups are ordered by a 64-bit hash of their text. The
+Documents with equal texts form one atomic group; groups are ordered by a digest of their text. The
 smallest capacity that lets a greedy left-to-right fill reach the end with the given number of shards is
 found by binary search, and the groups are cut there. The driver never sees all groups: it holds sums of
 hash blocks (a fixed number of them), brackets the answer with them, and then reads the groups of the few
 blocks in which a cut can still fall, splitting blocks further while those are too many.
 
-Defined results: a null text is a group of its own with size 1; equal texts always share a shard; a null
-doc_id sorts first inside its cell; an empty table gives an empty result.
+Defined results: null texts are a group of their own with size 1 each; equal texts always share a shard; a shard's
+slots go by doc_id modulo the cells, then doc_id, size and checksum, with a null doc_id first in the first
+cell; rows that repeat whole take neighbouring slots; a very long text counts as one group like any other and
+may fill a shard alone; columns other than doc_id and text may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +39,14 @@ class ShardParams:
     """Parts of a shard that are numbered on their own, so that no task sorts a whole shard."""
 
 
+#: Stands for a null text where groups are put in order.
+NULL_TEXT = "\x00null"
+
+
 def _order_key(text: Column) -> Column:
-    """Place of a text's group on the line: a signed 64-bit hash."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+    """Place of a text's group on the line: a signed 64-bit number from the first 60 bits of a digest."""
+    digits = F.substring(F.md5(F.coalesce(text, F.lit(NULL_TEXT)).cast("binary")), 1, 15)
+    return (F.conv(digits, 16, 10).cast("long") - F.lit(1 << 59)) * 16
 
 
 class _Line:
@@ -157,7 +164,7 @@ def minimax_shards(docs: DataFrame, params: ShardParams | None = None) -> DataFr
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("key") > F.lit(cut)).cast("int")
-    placed = rows.withColumn("shard", shard).withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(params.cells)).cast("int"))
+    placed = rows.withColumn("shard", shard).withColumn("cell", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(params.cells)), F.lit(0)).cast("int"))
     counts = placed.groupBy("shard", "cell").count().withColumnRenamed("count", "n")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).select(
         F.col("shard").alias("s"), F.col("cell").alias("c"), F.coalesce("before", F.lit(0)).alias("before")

@@ -53,7 +53,7 @@ def test_rules_and_parts(spark):
 
 
 def test_trust_and_distrust_match_a_plain_walk(spark):
-    p = url_filter.UrlParams()
+    p = url_filter.UrlParams(tolerance=1e-2, rounds=20)
     edges = {("a.org", "b.net"): 1, ("b.net", "c.net"): 1, ("www.bad.com", "c.net"): 1, ("evil.net", "www.bad.com"): 1}
     edges |= {("www.shop.evil.net", "shop.evil.net"): 1, ("shop.evil.net", "www.shop.evil.net"): 1, ("shop.evil.net", "www.bad.com"): 1}
 
@@ -73,14 +73,14 @@ def test_trust_and_distrust_match_a_plain_walk(spark):
     trust = walk(edges, {"a.org": 1.0, "example.org": 1.0, "org": 1.0, "x.com": 1.0})
     distrust = walk({(b, a): w for (a, b), w in edges.items()}, {"www.bad.com": 1.0, "m.example.org": 1.0})
     blocked = {h for h, d in distrust.items() if d > p.factor * trust.get(h, 0) and d > p.floor}
-    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, PAGES)).collect()}
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, PAGES), p).collect()}
     assert {"evil.net", "www.shop.evil.net"} <= blocked
     assert all((got[i] == "block") == (h in blocked) for i, h in ((2, "b.net"), (3, "c.net"), (5, "evil.net"), (13, "lone.net"), (14, "www.shop.evil.net"), (15, "shop.evil.net")))
 
 
 def test_bonds_reach_every_domain_above_and_link_siblings(spark):
     urls = ["http://www.bad.com/de/1", "http://bad.com/", "http://shop.bad.com/", "http://x.y.bad.com/", "http://good.com/fr/", "http://www.good.com/", "http://other.com/", "http://1.2.3.4/", "http://9.2.3.4:80/", "http://a..com/", "http://b.bad.com./"]
-    got = {u: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, [(i, u, None) for i, u in enumerate(urls)])).collect() for u in [urls[r.page_id]]}
+    got = {u: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, [(i, u, None) for i, u in enumerate(urls)]), url_filter.UrlParams(tolerance=1e-2)).collect() for u in [urls[r.page_id]]}
     assert [got[u] for u in urls] == ["block"] * 4 + ["allow"] * 7
     hosts = spark.createDataFrame([(h, None) for h in ("a.b.c.d", "a.b.c.d", "b.c.d", "c.d", "1.2.3.4", "9.2.3.4:80", "a..com", "b.bad.com.")], "host string, html string")
     edges = {(r.src, r.dst): r.weight for r in url_filter.host_edges(hosts).collect()}
