@@ -116,7 +116,7 @@ def automaton_engine(segments: list[np.ndarray], times: np.ndarray, width: int)
     return out
 
 
-PARAMS = RepeatParams(width=35, grams=(8, 17, 26, 35), words=True, engine=automaton_engine, batch_units=20_000)
+PARAMS = RepeatParams(width=35, grams=(8, 17, 26, 32, 35), words=True, engine=automaton_engine, batch_units=20_000)
 
 
 def remove_repeats(docs: DataFrame, params: RepeatParams = PARAMS) -> DataFrame:
