@@ -221,3 +221,12 @@ def test_several_speakers_in_one_text_give_a_turn_each(spark):
     for params in (chat.ChatParams(), chat.ChatParams(piece_turns=1)):
         got = {tuple(r) for r in chat.recover(df, model, params).select("conv_id", "turn", "sub", "role", "rendered").collect()}
         assert got == {(c, t, n, role, f"<|{role}|>\n{body}\n<|end|>") for c, t, n, role, body in want}
+
+
+def test_long_runs_of_spaces_merge_as_the_tokenizer_does():
+    import sentencepiece
+
+    own, theirs = pieces.Vocabulary.read(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [" " * n + "end" for n in (1, 2, 3, 7, 17, 100, 2001)] + ["a" + " " * 60_000 + "b" + " " * 5]
+    ids, offsets = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [theirs.encode(t) for t in texts]
