@@ -132,7 +132,7 @@ def transform_engine(segments: list[np.ndarray], times: np.ndarray, width: int,
     return [often[end - len(s) : end - width + 1] for s, end in zip(segments, collection.ends.tolist(), strict=True)]
 
 
-PARAMS = RepeatParams(width=200, grams=(64, 110, 155, 190, 200), words=False, engine=transform_engine, batch_units=60_000)
+PARAMS = RepeatParams(width=200, grams=(64, 110, 155, 190, 200), words=False, engine=transform_engine, batch_units=60_000, most_segments=400)
 
 
 def remove_repeats(docs: DataFrame, params: RepeatParams = PARAMS) -> DataFrame:
