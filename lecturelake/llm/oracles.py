@@ -89,7 +89,7 @@ def url_filters(rules: tuple[tuple[str, str], ...], damping: float, factor: floa
     """Rules by their text; ranks by so many plain rounds. The pages' absolute links and the bonds of hosts are the edges."""
     listed = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in rules)
     host = lambda url: f"translate(regexp_extract(CASE WHEN {url} LIKE '%://%' THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""
+    return rf"""
 WITH RECURSIVE rules(verdict, rule, h, p) AS (VALUES {listed}),
 u AS MATERIALIZED (SELECT page_id, html, {host("coalesce(url, '')")} AS host, regexp_extract(CASE WHEN coalesce(url, '') LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1) AS path FROM documents_pages),
 fit AS (SELECT page_id, host, path, max_by(rule, (length(rule), rule)) AS rule, max_by(verdict, (length(rule), rule)) AS verdict FROM u JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY ALL),
