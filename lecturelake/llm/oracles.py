@@ -12,20 +12,26 @@ def _words(name: str, text: str, pattern: str, table: str, key: str) -> str:
     return f"{name} AS (SELECT {key}, u.pos AS pos, u.word AS word FROM {table}, unnest(regexp_extract_all({text}, {pattern})) WITH ORDINALITY AS u(word, pos))"
 
 
-NGRAM_JOIN = f"""
+def near(num: int, more: str = "") -> str:
+    """Components of documents whose sets of 4-word shingles are alike by num hundredths; ``more``: further columns."""
+    return f"""
 WITH RECURSIVE {_words("w", _LOWER, _SPACED, "documents", "doc_id")},
 n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
 g AS (SELECT doc_id, pos, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d AS g FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 s AS (SELECT DISTINCT doc_id, g FROM g WHERE g IS NOT NULL UNION SELECT doc_id, string_agg(word, ' ' ORDER BY pos) FROM w JOIN n USING (doc_id) WHERE n < 4 GROUP BY doc_id),
 k AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT x, y FROM p JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE 100 * c >= 85 * (a.k + b.k - c)),
+l AS (SELECT x, y FROM p JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE 100 * c >= {num} * (a.k + b.k - c)),
 b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x),
 c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
-SELECT d.doc_id, coalesce(k, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c ON x = d.doc_id
+SELECT d.doc_id, coalesce(k, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id{more} FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c ON x = d.doc_id
 """
 
+
+NGRAM_JOIN = near(85)
+MIN_HASH = near(80, ", d.doc_id = least(d.doc_id, coalesce(y, d.doc_id)) AS kept")
+
 SUBSTRING_DEDUP = f"""
 WITH {_words("w", "coalesce(text, '')", _SPACED, "documents", "doc_id")},
 v AS (SELECT doc_id, pos, word, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS win FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
@@ -84,6 +90,48 @@ SELECT doc_id, d.size, crc AS text_crc32, 'bytes' AS law, s.shard, row_number()
 FROM d JOIN g USING (key) JOIN s ON g.till > s.at AND g.till <= s.till
 """
 
+def _crc32(hexed: str) -> str:
+    """Checksum of the bytes of a hex string, as an unsigned number; needs ``tab``."""
+    listed = f"list_transform(range(length({hexed}) // 2), lambda i: CAST('0x' || substr({hexed}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {listed}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+SPELLING = f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM documents, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS u(run) GROUP BY ALL),
+x AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS x FROM r),
+h AS (SELECT w, n, {_crc32('x')} AS h FROM x, tab),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, u.i AS i, substr(word, 1, u.i) || substr(word, u.i + 2) AS less FROM v, unnest(range(length(word))) AS u(i)),
+short AS (SELECT DISTINCT d.word AS a, d.n AS an, v.word AS b, v.n AS bn FROM d JOIN v ON d.less = v.word),
+near AS MATERIALIZED (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word UNION ALL SELECT * FROM short UNION ALL SELECT b, bn, a, an FROM short),
+c AS (SELECT a AS word, count(*) AS n_near FROM near GROUP BY a),
+f AS MATERIALIZED (SELECT a AS word, b AS form, bn AS form_n FROM near WHERE bn >= 10 * an QUALIFY row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) = 1),
+w AS (SELECT word, form AS root, 1 AS k FROM f UNION ALL SELECT w.word, f.form, k + 1 FROM w JOIN f ON w.root = f.word),
+e AS (SELECT word, max_by(root, k) AS root FROM w GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN c USING (word) LEFT JOIN f USING (word) LEFT JOIN e USING (word)
+"""
+
+PREFIX_TRIE = rf"""
+WITH tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+t AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS e, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT c, hex(encode(CAST(c AS VARCHAR))) AS x, count(*) AS n FROM t GROUP BY c),
+h AS MATERIALIZED (SELECT c, n, {_crc32('x')} % 4 AS h FROM b, tab),
+k AS MATERIALIZED (SELECT h.c, h.h, least(h.h, coalesce(s.n, 0)) AS k FROM h LEFT JOIN h s ON s.c = h.c - h.c % 20),
+r AS (SELECT k.c, pos AS d, e, words FROM k JOIN t ON t.c = k.c - k.c % 20 AND pos <= k UNION ALL SELECT k.c, k + pos - h, e, words FROM k JOIN t ON t.c = k.c AND pos > h),
+p AS MATERIALIZED (SELECT c, d, words, string_agg(e, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM r UNION ALL SELECT c, 0, 0, '' FROM k),
+l AS (SELECT c, max(d) AS d, max_by(path, d) AS path FROM p GROUP BY c),
+e AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM l GROUP BY path),
+n AS MATERIALIZED (SELECT d, path, min(c) AS c, count(*) AS n, any_value(words) AS words FROM p GROUP BY d, path),
+q AS MATERIALIZED (SELECT n.*, m.c AS parent FROM n LEFT JOIN n m ON m.d = n.d - 1 AND starts_with(n.path, m.path)),
+i AS (SELECT d - 1 AS d, parent AS c, count(*) AS children FROM q WHERE d > 0 GROUP BY ALL),
+s AS (SELECT q.*, coalesce(children, 0) AS children FROM q LEFT JOIN i USING (d, c)),
+u AS (SELECT a.d, a.c, count(*) FILTER (z.children = 0) AS leaves, CAST(sum((z.n - 1) * z.words) AS BIGINT) AS saved FROM s a JOIN s z ON z.d >= a.d AND starts_with(z.path, a.path) GROUP BY ALL)
+SELECT c AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, children AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256 FROM s JOIN u USING (d, c) LEFT JOIN e USING (path)
+"""
+
 
 def url_filters(rules: tuple[tuple[str, str], ...], damping: float, factor: float, floor: float, rounds: int = 200) -> str:
     """Rules by their text; ranks by so many plain rounds. The pages' absolute links and the bonds of hosts are the edges."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelake.llm import chat, decontaminate, exact_dedup, near_join, oracles, pieces, quality, sharding, substring_dedup, suffix_dedup, url_filter
+from lecturelake.llm import chat, decontaminate, exact_dedup, minhash, near_join, oracles, pieces, prefix_trie, quality, sharding, spelling, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_decontamination": decontaminate.query,
     "op10_chat": chat.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_minhash": minhash.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sharding": oracles.SHARDING,
     "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op11_spelling_variants": oracles.SPELLING,
+    "op12_minhash": oracles.MIN_HASH,
+    "op13_prefix_trie": oracles.PREFIX_TRIE,
 }
