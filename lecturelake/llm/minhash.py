@@ -3,9 +3,10 @@
 Each document's set of distinct k-word shingles is sketched (see sketch.py) and filed under a hash of each band. The
 documents of a bucket are a star: each is a candidate with the bucket's centre, so a bucket of m documents gives
 m - 1 pairs. Candidates are verified on the whole sets. Buckets whose documents are then still in several components
-are compared further, until no two documents of a bucket that could be alike are unknown to each other (``settled`` in
-near_join.py has the steps, and what bounds them in crowds). So a link is lost only if its documents share no bucket:
-with the 4 rows and 48 bands here, one of 1e11 links of similarity 0.8 is, and fewer of any above.
+are compared further, until no two documents of a bucket that could be alike are unknown to each other; the documents
+of crowded buckets, such as those of a passage that countless documents hold, are indexed by their rare tokens first,
+as in ``near_join``, whose ``settled`` has the steps. So a link is lost only if its documents share no bucket: with the
+4 rows and 48 bands here, one of 1e11 links of similarity 0.8 is, and fewer of any above.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer than k words is one
 shingle; equal sets link without a sketch; rows that repeat whole, rows that share a doc_id but not the text, and rows
@@ -36,7 +37,13 @@ class MinHashParams(LinkParams):
 def links(docs: DataFrame, maps: DataFrame, params: MinHashParams) -> DataFrame:
     """id, component of all documents that link with another; ``docs`` (doc_id, text) has one document for each different set."""
     least = -(-params.num // (params.den - params.num)) if params.num < params.den else 2**62  # smaller sets link with equal ones only
-    return near_join.settled(docs, maps, shared_bands(docs, SketchParams(params.words, params.rows, params.bands, params.chunk_bytes, least)), params)
+    buckets = shared_bands(docs, SketchParams(params.words, params.rows, params.bands, params.chunk_bytes, least))
+    return near_join.settled(docs, maps, buckets, params, [by_prefixes, near_join.crowd_bands])
+
+
+def by_prefixes(docs: DataFrame, members: DataFrame, params: MinHashParams) -> DataFrame:
+    """Entries of rare tokens and of combinations of the documents of crowded buckets."""
+    return near_join.live_entries(docs, params)
 
 
 def near_groups(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:

@@ -135,9 +135,9 @@ def test_a_crowd_of_unlike_pages_from_the_same_blocks(spark, find, monkeypatch):
     plain = near_join.possible
     monkeypatch.setattr(near_join, "possible", lambda pairs, *more: counted.append(pairs.count()) or plain(pairs, *more))
     if find == "prefixes":
-        got = near_join.near_groups(frame(spark, docs), near_join.JaccardParams(words=4, num=85, den=100))
+        got = near_join.near_groups(frame(spark, docs), near_join.JaccardParams(words=4, num=85, den=100, crowd=16))
     else:
-        got = minhash.near_groups(frame(spark, docs), minhash.MinHashParams(words=4, num=85, den=100))
+        got = minhash.near_groups(frame(spark, docs), minhash.MinHashParams(words=4, num=85, den=100, crowd=16))
     assert grouped(got) == brute.near(docs, 4, 85, 100)
     assert sum(counted) < 50 * len(docs), counted  # of 46,360 pairs
 
