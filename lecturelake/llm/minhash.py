@@ -32,6 +32,7 @@ from lecturelake.llm.sketch import SketchParams, shared_bands
 class MinHashParams(LinkParams):
     rows: int = 4
     bands: int = 48
+    crowd: int = 16
 
 
 def links(docs: DataFrame, maps: DataFrame, params: MinHashParams) -> DataFrame:
