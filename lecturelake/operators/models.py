@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from lecturelake.operators.regions import engine_select, stops
+from lecturelake.storage import written
+
 
 def score_with_model(make_predict: Callable, return_type: DataType, batch_size: int = 64, shapes: list[list[int]] | None = None) -> Callable[..., Column]:
     """A column function from ``make_predict``, which loads a model once a Python worker and returns its batch function.
@@ -18,6 +21,23 @@ def score_with_model(make_predict: Callable, return_type: DataType, batch_size:
     return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size, input_tensor_shapes=shapes)
 
 
+def engine_cascade(frames: DataFrame, engines: list[tuple[str, Callable[[DataFrame], Column]]], stop_below: float = 800.0, useful_over: int = 12, accept_below: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """Engines tried in order, each only on the frames that none before it has settled; gives what ``engine_select`` would, and the runs.
+
+    frames: frame_key and what the engines read. An engine is a name and a function from the frames to a column of
+    struct<perplexity: double, useful: long>, such as one made by ``score_with_model``. The rows of an engine are
+    written before they are split into settled ones and others, so no frame is scored twice, full batches reach the
+    next engine, and a lost executor costs its own rows only. The runs have a row for each call of an engine.
+    """
+    runs, left = None, frames
+    for number, (name, engine) in enumerate(engines, 1):
+        tried = written(left.withColumn("_run", engine(left)), f"engine-{number}")
+        found = tried.select("frame_key", F.lit(number).alias("engine_ord"), F.lit(name).alias("engine"), F.col("_run.perplexity").alias("perplexity"), F.col("_run.useful").alias("useful"))
+        runs = found if runs is None else runs.unionByName(found)
+        left = tried.filter(~F.coalesce(stops(F.col("_run.perplexity"), F.col("_run.useful"), stop_below, useful_over), F.lit(False))).drop("_run")
+    return engine_select(runs, stop_below, useful_over, accept_below), runs
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 

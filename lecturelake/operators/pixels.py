@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,22 +16,29 @@ from lecturelake.params import ClarityParams
 
 
 def gray_pixels(images: DataFrame) -> DataFrame:
-    """frame_key, y, x, v from the built-in image source (struct image of BGR or gray bytes), one Arrow batch at a time."""
+    """frame_key, y, x, v from the built-in image source (struct image of BGR, BGRA or gray bytes), one Arrow batch at a time. Rows of unreadable files have no pixels; ``unreadable_images`` names them."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for b in batches:
             for r in b.itertuples(index=False):
-                raw = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(float)
-                gray = raw[:, :, 0] if r.nChannels == 1 else np.rint(0.114 * raw[:, :, 0] + 0.587 * raw[:, :, 1] + 0.299 * raw[:, :, 2])
-                y, x = np.indices(gray.shape)
-                yield pd.DataFrame({"frame_key": r.origin, "y": y.ravel(), "x": x.ravel(), "v": gray.ravel().astype(int)})
+                v = gray(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels))
+                y, x = np.indices(v.shape)
+                yield pd.DataFrame({"frame_key": r.origin, "y": y.ravel(), "x": x.ravel(), "v": v.ravel()})
 
-    flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    flat = images.filter(_readable()).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     return flat.mapInPandas(decode, "frame_key string, y long, x long, v long")
 
 
+def _readable() -> Column:
+    i = F.col("image")
+    return F.coalesce((i["height"] > 0) & (i["width"] > 0) & (F.length(i["data"]) == i["height"] * i["width"] * i["nChannels"]), F.lit(False))
+
+
+def unreadable_images(images: DataFrame) -> DataFrame:
+    """frame_key of images that couldn't be decoded."""
+    return images.filter(~_readable()).select(F.col("image.origin").alias("frame_key"))
+
+
 def laplacian_stencil(pixels: DataFrame) -> DataFrame:
     """Adds lap: the four neighbours minus four times the pixel; at an edge the inner neighbour counts twice."""
     row = Window.partitionBy("frame_key", "y").orderBy("x")
@@ -43,6 +52,57 @@ def laplacian_stencil(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("lap", around - 4 * F.col("v"))
 
 
+def image_laplacian_variance(images: DataFrame, block_rows: int = 256) -> DataFrame:
+    """frame_key, laplacian_variance of images (as the image source gives them), without a row a pixel.
+
+    An image is cut into blocks of rows with one more row on either side, so that a block's stencil needs no other; a
+    block gives its count, sum and sum of squares as whole numbers, and only these meet. Where an image lies in one
+    block, nothing is shuffled before the sums. Rows of unreadable files are left out.
+    """
+    i = F.col("image")
+    last = F.ceil(i["height"] / block_rows).cast("int") - 1
+    cut = images.filter(_readable()).select(i["origin"].alias("frame_key"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["height"].alias("height"), i["data"].alias("data"), F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    first = F.greatest(F.col("block") * block_rows - 1, F.lit(0))
+    end = F.least((F.col("block") + 1) * block_rows + 1, F.col("height"))
+    line = F.col("width") * F.col("channels")
+    blocks = cut.select("frame_key", "width", "channels", (F.col("block") > 0).alias("above"), (end < (F.col("block") + 1) * block_rows + 1).alias("below_is_edge"), F.substring("data", first * line + 1, (end - first) * line).alias("data"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, width, channels, above, edge, data in zip(*(b.column(n).to_pylist() for n in range(5)), b.column(5), strict=True):
+                v = gray(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, width, channels))
+                lap = stencil(v)[int(above) : len(v) if edge else len(v) - 1]
+                out.append((key, lap.size, int(lap.sum()), int((lap * lap).sum())))
+            yield pa.record_batch([pa.array([r[n] for r in out], t) for n, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["frame_key", "n", "total", "squares"])
+
+    parts = blocks.mapInArrow(sums, "frame_key string, n long, total long, squares long")
+    s = parts.groupBy("frame_key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    return s.select("frame_key", (F.col("squares") / F.col("n") - (F.col("total") / F.col("n")) ** 2).alias("laplacian_variance"))
+
+
+def gray(raw: np.ndarray) -> np.ndarray:
+    """Whole gray levels of an image's bytes (rows, columns, channels in the order blue, green, red)."""
+    if raw.shape[2] == 1:
+        return raw[:, :, 0].astype(np.int64)
+    v = raw.astype(float)
+    return np.rint(0.114 * v[:, :, 0] + 0.587 * v[:, :, 1] + 0.299 * v[:, :, 2]).astype(np.int64)
+
+
+def stencil(v: np.ndarray) -> np.ndarray:
+    """The four neighbours of each level minus four times itself; at an edge the inner neighbour counts twice."""
+    out = -4 * v
+    for axis in (0, 1):
+        size = v.shape[axis]
+        if size == 1:
+            out = out + 2 * v
+            continue
+        before = np.take(v, [1, *range(size - 1)], axis)
+        after = np.take(v, [*range(1, size), size - 2], axis)
+        out = out + before + after
+    return out
+
+
 def laplacian_variance(pixels: DataFrame) -> DataFrame:
     return laplacian_stencil(pixels).groupBy("frame_key").agg(F.var_pop(F.col("lap").cast("double")).alias("laplacian_variance"))
 
@@ -61,9 +121,10 @@ def clarity_score(rows: DataFrame, p: ClarityParams | None = None) -> DataFrame:
     return scored.withColumns({"score": F.round("total", 2), "clarity": clarity_label(F.col("total")), "suggestion": clarity_advice(F.col("total"))}).drop("total")
 
 
-def clarity_frames(pixels: DataFrame, ink: DataFrame, p: ClarityParams | None = None) -> DataFrame:
+def clarity_frames(sharpness: DataFrame, ink: DataFrame, p: ClarityParams | None = None) -> DataFrame:
+    """Clarity of frames from their laplacian_variance (of pixels or of images) and the strokes of their ink."""
     strokes = stroke_width_variance(ink)
-    both = laplacian_variance(pixels).join(strokes, "frame_key", "left")
+    both = sharpness.join(strokes, "frame_key", "left")
     return clarity_score(both.fillna({"stroke_width_variance": 0.0, "components": 0}), p)
 
 

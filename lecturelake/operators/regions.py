@@ -120,13 +120,18 @@ def ocr_source_label(frames: DataFrame, fallback: DataFrame, prefer_printed: boo
     return both.select("frame_key", label.alias("ocr_source"))
 
 
+def stops(perplexity: Column, useful: Column, stop_below: float, useful_over: int) -> Column:
+    """Whether no engine is tried after one with this result."""
+    return (perplexity < stop_below) | (useful > useful_over)
+
+
 def engine_select(runs: DataFrame, stop_below: float = 800.0, useful_over: int = 12, accept_below: float = 1000.0) -> DataFrame:
     """For each frame the engine whose text is taken. runs: frame_key, engine_ord, engine, perplexity, useful.
 
     Engines are tried in order until one is fluent or gives enough characters; the last tried one that is
     acceptable, or gives any, wins.
     """
-    stops = (F.col("perplexity") < stop_below) | (F.col("useful") > useful_over)
-    until = F.coalesce(F.min(F.when(stops, F.col("engine_ord"))).over(Window.partitionBy("frame_key")), F.lit(2**31 - 1))
+    last = stops(F.col("perplexity"), F.col("useful"), stop_below, useful_over)
+    until = F.coalesce(F.min(F.when(last, F.col("engine_ord"))).over(Window.partitionBy("frame_key")), F.lit(2**31 - 1))
     tried = runs.withColumn("until", until).filter("engine_ord <= until").filter((F.col("perplexity") < accept_below) | (F.col("useful") > 0))
     return tried.groupBy("frame_key").agg(F.max_by("engine", "engine_ord").alias("engine"))

@@ -9,6 +9,8 @@ from lecturelake.operators import audio
 from lecturelake.params import SpeechParams
 from lecturelake.plans.bindings import WINDOWS, Tables, windows
 from lecturelake.plans.registry import query
+from lecturelake.sources import media
+from lecturelake.storage import shared_folder
 
 P = SpeechParams(threshold=20, window_sec=1.0, silence_sec=3.0, min_segment_sec=5, max_segment_sec=20, drop_silence_sec=8)
 
@@ -39,6 +41,18 @@ def sample_normalize(t):
     return audio.sample_normalize(samples).select("clip_id", "i", F.round("v", 6).alias("v"))
 
 
+CLIPS = f"""{WINDOWS}, clips AS (SELECT clip_id, window_no AS i, CAST(floor(value * 50) AS BIGINT) - 12000 AS v FROM windows)"""
+
+
+@query("scan_pcm_windows", f"WITH {CLIPS} SELECT clip_id, i // 8 AS window_no, count(*) AS n, round(sum((v / 32768) * (v / 32768)), 9) AS sum_sq FROM clips GROUP BY ALL")
+def scan_pcm_windows(t):
+    samples = windows(t).select("clip_id", F.col("window_no").alias("i"), (F.floor(F.col("value") * 50) - 12000).alias("v"))
+    folder = shared_folder(t.spark, "clips")
+    media.write_pcm(samples, folder, rate=800).write.parquet(shared_folder(t.spark, "clips-written"))
+    found = media.scan_pcm_windows(t.spark, folder, window_sec=0.01, rate=800, part_bytes=2000)  # small parts, so that clips are cut
+    return found.select(F.regexp_extract("clip_id", r"(\d+)\.wav$", 1).cast("long").alias("clip_id"), "window_no", "n", F.round("sum_sq", 9).alias("sum_sq"))
+
+
 @query("silence_segments", f"WITH RECURSIVE {SEGMENTS} SELECT clip_id, seg_no, first, last, n, round(sum_sq, 4) AS sum_sq FROM segments")
 def silence_segments(t):
     return segments(t).withColumn("sum_sq", F.round("sum_sq", 4))

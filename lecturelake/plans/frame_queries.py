@@ -10,6 +10,7 @@ from lecturelake.params import KeyframeParams, SamplingParams
 from lecturelake.plans.bindings import AREA, FRAMES, SAMPLES, STAMP, Tables, frames, sampled_sql, samples
 from lecturelake.plans.registry import query
 from lecturelake.sources import media
+from lecturelake.storage import shared_folder
 
 KEEP = ("lesson_id", "frame_index", "ts")
 
@@ -96,25 +97,38 @@ def highest_clarity(t):
 
 
 def packets(t: Tables) -> DataFrame:
-    """Packet lines a user's events: a cell without number, the time, and flags with K for one kind of event."""
+    """Packet lines a user's events: a cell without number, the time (in one of three notations), and flags with K for one kind of event."""
     flags = F.when((F.col("event_type") == "click") & (F.col("user_id") % 5 != 0), "K__").otherwise("___")
     first = F.when(F.col("event_id") % 2 == 0, "N/A").otherwise("packet")
-    return t.events.select(F.col("user_id").alias("video_id"), F.concat_ws(",", first, F.concat("event_id", F.lit(".25")), flags).alias("value"))
+    time = F.when(F.col("event_id") % 3 == 0, F.concat("event_id", F.lit("25e-2"))).when(F.col("event_id") % 3 == 1, F.concat("event_id", F.lit(".25000001"))).otherwise(F.concat(F.lit(" +"), "event_id", F.lit(".25")))
+    return t.events.select(F.col("user_id").alias("video_id"), F.concat_ws(",", first, time, flags).alias("value"))
 
 
-PACKETS = "packets AS (SELECT user_id AS video_id, event_id + 0.25::DOUBLE AS ts FROM events WHERE event_type = 'click' AND user_id % 5 <> 0)"
+def dumped(rows: DataFrame, name: str) -> str:
+    """A folder of text files, in one folder a video, as probes of many machines leave them."""
+    folder = shared_folder(rows.sparkSession, name)
+    rows.withColumnRenamed("video_id", "video").repartition("video").write.partitionBy("video").text(folder)
+    return folder
+
+
+def _rounded(times: DataFrame) -> DataFrame:
+    return times.select(F.col("video_id").cast("long").alias("video_id"), F.round("ts", 6).alias("ts"))
+
+
+TIME = "CASE event_id % 3 WHEN 0 THEN (event_id * 100 + 25) / 100 WHEN 1 THEN event_id + 0.25000001::DOUBLE ELSE event_id + 0.25::DOUBLE END"
+PACKETS = f"packets AS (SELECT user_id AS video_id, round({TIME}, 6) AS ts FROM events WHERE event_type = 'click' AND user_id % 5 <> 0)"
 
 
 @query("scan_probe_csv", f"WITH {PACKETS} SELECT * FROM packets")
 def scan_probe_csv(t):
-    return media.probe_times(packets(t))
+    return _rounded(media.scan_probe_csv(t.spark, dumped(packets(t), "packets")))
 
 
 @query("scan_probe_csv_fallback", f"WITH {PACKETS} SELECT * FROM packets UNION ALL SELECT user_id, event_id + 0.5 FROM events WHERE event_id % 3 = 0 AND user_id NOT IN (SELECT video_id FROM packets)")
 def scan_probe_csv_fallback(t):
     kind = F.when(F.col("event_id") % 3 == 0, "I").otherwise("P")
     rows = t.events.select(F.col("user_id").alias("video_id"), F.concat_ws(",", F.lit("frame"), F.concat("event_id", F.lit(".5")), kind).alias("value"))
-    return media.probe_times_or_iframes(packets(t), rows)
+    return _rounded(media.scan_probe_csv_or_iframes(t.spark, dumped(packets(t), "packets"), dumped(rows, "iframes")))
 
 
 @query(

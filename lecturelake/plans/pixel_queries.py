@@ -9,14 +9,43 @@ from lecturelake.operators import pixels as O
 from lecturelake.params import ClarityParams
 from lecturelake.plans.bindings import PIXELS, Tables, pixels
 from lecturelake.plans.registry import query
+from lecturelake.sources import media
+from lecturelake.storage import shared_folder
+
+
+def images(t: Tables) -> DataFrame:
+    """Each embedding as an image row of 8 x 8 gray levels."""
+    p = t.embeddings.select(F.col("vec_id").cast("string").alias("origin"), F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127)).alias("v"))
+    data = F.unhex(F.array_join(F.transform("v", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return p.select(F.struct("origin", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))
 
 
 @query("gray_pixels", f"WITH {PIXELS} SELECT CAST(frame_key AS VARCHAR) AS frame_key, y, x, v FROM pixels")
 def gray_pixels(t):
-    p = pixels(t).groupBy("frame_key").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    data = F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q["v"]), 2, "0")), ""))
-    image = F.struct(F.col("frame_key").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
-    return O.gray_pixels(p.select(image.alias("image")))
+    return O.gray_pixels(images(t))
+
+
+#: Vectors that are drawn below each other in one picture.
+TALL = 200
+
+
+@query(
+    "scan_images",
+    f"""WITH {PIXELS} SELECT 'tall-' || frame_key // {TALL} AS picture, (frame_key - min(frame_key) OVER (PARTITION BY frame_key // {TALL})) * 8 + y AS y, x, v FROM pixels
+UNION ALL SELECT DISTINCT 'broken-' || vec_id // {TALL}, NULL, NULL, NULL FROM embeddings""",
+)
+def scan_images(t):
+    """Writes pictures, and a broken one for each, and gives the pixels of those that the source reads and the names of the others."""
+    picture = F.floor(F.col("vec_id") / TALL).cast("long")
+    row = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127).cast("short"))
+    folder = shared_folder(t.spark, "pictures")
+    media.write_gray_images(t.embeddings.select(F.concat(F.lit("tall-"), picture).alias("name"), F.col("vec_id").alias("place"), row.alias("levels")), folder, width=8).write.parquet(shared_folder(t.spark, "pictures-written"))
+    broken = t.embeddings.select(F.concat(F.lit("broken-"), picture).alias("name"), F.lit(0).cast("long").alias("place"), F.array().cast("array<short>").alias("levels")).distinct()
+    media.write_gray_images(broken, folder, width=8).write.parquet(shared_folder(t.spark, "pictures-written"))
+    found = media.scan_images(t.spark, folder)
+    name = F.regexp_extract("frame_key", r"([^/]+)\.png$", 1).alias("picture")
+    none = F.lit(None).cast("long")
+    return O.gray_pixels(found).select(name, "y", "x", "v").unionByName(O.unreadable_images(found).select(name, none.alias("y"), none.alias("x"), none.alias("v")))
 
 
 STENCIL = f"""{PIXELS}, s AS (SELECT *, lag(v) OVER r AS a, lead(v) OVER r AS b, lag(v) OVER c AS d, lead(v) OVER c AS e FROM pixels WINDOW r AS (PARTITION BY frame_key, y ORDER BY x), c AS (PARTITION BY frame_key, x ORDER BY y)),
@@ -33,6 +62,11 @@ def laplacian_variance(t):
     return O.laplacian_variance(pixels(t)).select("frame_key", F.round(F.col("laplacian_variance") + 1e-7, 4).alias("laplacian_variance"))
 
 
+@query("image_laplacian_variance", f"WITH {STENCIL} SELECT CAST(frame_key AS VARCHAR) AS frame_key, round(var_pop(lap) + 1e-7, 4) AS laplacian_variance FROM stencil GROUP BY frame_key")
+def image_laplacian_variance(t):
+    return O.image_laplacian_variance(images(t), block_rows=3).withColumn("laplacian_variance", F.round(F.col("laplacian_variance") + 1e-7, 4))
+
+
 def ink(t: Tables) -> DataFrame:
     """Line items as ink: a frame is a supplier, a component some of its parts."""
     return t.lineitem.select(F.col("l_suppkey").alias("frame_key"), (F.col("l_partkey") % 23).alias("component"), (F.col("l_quantity") / 25).alias("dist"), F.lit(100).alias("h"), F.lit(100).alias("w"))
@@ -64,7 +98,8 @@ def clarity_score(t):
 @query("clarity_frames", f"WITH {STENCIL}, {STROKES}, l AS (SELECT frame_key, var_pop(lap) AS lap FROM stencil GROUP BY frame_key), c AS (SELECT frame_key, coalesce(components, 0) AS components, {clarity_sql('lap', 'coalesce(v, 0)', 12000.0, 2000.0, 0.05)} AS s FROM l LEFT JOIN strokes USING (frame_key)) SELECT frame_key, components, round(s, 2) AS score, {LABEL} AS clarity FROM c")
 def clarity_frames(t):
     p = ClarityParams(sharp_from=12000, blurred_to=2000, uneven_from=0.05)
-    return O.clarity_frames(pixels(t), ink(t), p).select("frame_key", "components", "score", "clarity")
+    sharp = O.image_laplacian_variance(images(t)).withColumn("frame_key", F.col("frame_key").cast("long"))
+    return O.clarity_frames(sharp, ink(t), p).select("frame_key", "components", "score", "clarity")
 
 
 def mask(t: Tables) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lecturelake.functions.text import useful_char_count
-from lecturelake.operators import assemble, regions
+from lecturelake.operators import assemble, models, regions
 from lecturelake.plans.bindings import AREA, BOXES, Tables, boxes
 from lecturelake.plans.registry import query
 
@@ -137,6 +138,35 @@ def engine_select(t):
     return regions.engine_select(runs, stop_below=400, useful_over=12, accept_below=600)
 
 
+ENGINES = 4
+
+
+@query(
+    "engine_cascade",
+    f"""WITH {BOXES}, r AS (SELECT frame_key, ord, x1 * 20.0 AS p, quantity % 20 AS u FROM boxes WHERE ord <= {ENGINES}), s AS (SELECT *, min(CASE WHEN p < 400 OR u > 12 THEN ord END) OVER (PARTITION BY frame_key) AS until FROM r),
+ c AS (SELECT frame_key, CAST(coalesce(any_value(until), {ENGINES}) AS BIGINT) AS calls, max(CASE WHEN (until IS NULL OR ord <= until) AND (p < 600 OR u > 0) THEN ord END) AS last FROM s GROUP BY frame_key) SELECT frame_key, calls, 'engine' || last AS engine FROM c""",
+)
+def engine_cascade(t):
+    at = lambda name: F.transform(F.sequence(F.lit(1), F.lit(ENGINES)), lambda k: F.coalesce(F.get(F.transform(F.filter("b", lambda b: b["ord"] == k), lambda b: b[name]), F.lit(0)), F.lit(-1.0)))
+    boxed = boxes(t).filter(F.col("ord") <= ENGINES).groupBy("frame_key").agg(F.collect_list(F.struct("ord", F.col("x1").cast("double").alias("x"), F.col("quantity").cast("double").alias("q"))).alias("b"))
+    frames = boxed.select("frame_key", at("x").alias("x"), at("q").alias("q"))
+
+    def engine(k: int):
+        def load():
+            import numpy as np
+
+            def predict(x, q):  # a frame without a box for this engine has no text
+                return np.stack([np.where(x[:, k] < 0, np.inf, x[:, k] * 20), np.where(x[:, k] < 0, 0, q[:, k] % 20)], axis=1)
+
+            return predict
+
+        score = models.score_with_model(load, ArrayType(DoubleType()), 512, [[ENGINES], [ENGINES]])
+        return lambda rows: F.transform(F.array(score("x", "q")), lambda r: F.struct(r[0].alias("perplexity"), r[1].cast("long").alias("useful")))[0]
+
+    chosen, runs = models.engine_cascade(frames, [(f"engine{k + 1}", engine(k)) for k in range(ENGINES)], stop_below=400, useful_over=12, accept_below=600)
+    return runs.groupBy("frame_key").agg(F.count("*").alias("calls")).join(chosen, "frame_key", "left")
+
+
 METHOD = "CASE l_linenumber % 4 WHEN 0 THEN 'full_frame' WHEN 1 THEN 'yolo' WHEN 2 THEN 'heuristic' END"
 
 

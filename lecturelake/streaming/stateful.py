@@ -1,7 +1,7 @@
 """Streaming forms of the state machines, with the same transition functions as the batch forms.
 
-Rows of a key are put in order inside a micro-batch; a row that is older than the key's last one is counted
-and dropped. State is a few numbers and one signature a key. The stores need the RocksDB provider:
+Rows of a key are put in order inside a micro-batch; a row that is older than the key's last one comes out as late
+and changes nothing. State is a few numbers and one signature or line a key. The stores need the RocksDB provider:
 spark.sql.streaming.stateStore.providerClass =
 org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from lecturelake.functions.text import casefold_key
+from lecturelake.functions.text import casefold_key, trimmed
 from lecturelake.operators.frames import keep_step, new_keyframe_state
 from lecturelake.params import KeyframeParams, SpeechParams
 
@@ -40,35 +41,42 @@ class _JsonState(StatefulProcessor):
         """What would come out if the stream ended here."""
         raise NotImplementedError
 
+    def late(self, r) -> tuple | None:
+        """The output row (without the key) that reports a late row, or None."""
+        return None
+
     position: str
     columns: list[str]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
-        state = json.loads(held[0]) if held else {**self.first(), "at": None, "late": 0}
+        state = json.loads(held[0]) if held else {**self.first(), "at": None}
         out = []
-        batch = pd.concat(list(rows)).sort_values(self.position)
-        for r in batch.itertuples(index=False):
+        for r in pd.concat(list(rows)).sort_values(self.position).itertuples(index=False):
             at = int(getattr(r, self.position))
             if state["at"] is not None and at <= state["at"]:
-                state["late"] += 1
-                continue
-            state["at"] = at
-            made = self.row(state, r)
+                made = self.late(r)
+            else:
+                state["at"] = at
+                made = self.row(state, r)
             if made is not None:
                 out.append((key[0], *made))
         rest = self.rest(state)
         if rest is not None:
             out.append((key[0], *rest))
         self.state.update((json.dumps(state),))
+        self.settle(state)
         yield pd.DataFrame(out, columns=self.columns)
 
+    def settle(self, state: dict) -> None:
+        """Called when a micro-batch of a key is done."""
+
     def close(self) -> None:
         pass
 
 
 class _Keyframes(_JsonState):
-    position, columns = "frame_index", ["lesson_id", "frame_index", "change", "kept"]
+    position, columns = "frame_index", ["lesson_id", "frame_index", "change", "kept", "late"]
 
     def __init__(self, p: KeyframeParams):
         self.p = p
@@ -78,26 +86,34 @@ class _Keyframes(_JsonState):
 
     def row(self, state: dict, r) -> tuple | None:
         change = keep_step(state, int(r.frame_index), float(r.score), [int(x) for x in r.signature], self.p)
-        return None if change is None else (int(r.frame_index), change, True)
+        return None if change is None else (int(r.frame_index), change, True, False)
 
     def rest(self, state: dict) -> tuple | None:
-        return (state["best"][1], 1.0, False) if not state["kept"] and state["best"] else None
+        return (state["best"][1], 1.0, False, False) if not state["kept"] and state["best"] else None
+
+    def late(self, r) -> tuple | None:
+        return int(r.frame_index), None, False, True
 
 
 def stream_keyframes(frames: DataFrame, p: KeyframeParams | None = None) -> DataFrame:
-    """lesson_id, frame_index, change, kept; a row with kept false is the best frame so far of a lesson that kept none."""
+    """lesson_id, frame_index, change, kept, late: kept frames, the best frame so far (kept false) of a lesson that kept none, and each frame that came after a later one of its lesson (late)."""
     return frames.select("lesson_id", "frame_index", "score", "signature").groupBy("lesson_id").transformWithStateInPandas(
-        statefulProcessor=_Keyframes(p or KeyframeParams()), outputStructType="lesson_id long, frame_index long, change double, kept boolean", outputMode="Append", timeMode="None"
+        statefulProcessor=_Keyframes(p or KeyframeParams()), outputStructType="lesson_id long, frame_index long, change double, kept boolean, late boolean", outputMode="Append", timeMode="None"
     )
 
 
 def settled_keyframes(rows: DataFrame) -> DataFrame:
     """What the stream's output says once it has ended: kept frames, else the last best one of a lesson."""
     kept = rows.filter("kept").select("lesson_id", "frame_index", "change")
-    last = rows.filter("not kept").groupBy("lesson_id").agg(F.max_by(F.struct("frame_index", "change"), "frame_index").alias("b")).select("lesson_id", "b.*")
+    last = rows.filter("not kept and not late").groupBy("lesson_id").agg(F.max_by(F.struct("frame_index", "change"), "frame_index").alias("b")).select("lesson_id", "b.*")
     return kept.unionByName(last.join(kept.select("lesson_id").distinct(), "lesson_id", "left_anti"))
 
 
+def late_frames(rows: DataFrame) -> DataFrame:
+    """lesson_id, late: frames that came too late to be judged, of the lessons that have any."""
+    return rows.filter("late").groupBy("lesson_id").agg(F.count("*").alias("late"))
+
+
 class _Silence(_JsonState):
     position, columns = "window_no", ["clip_id", "first", "last", "n", "sum_sq", "open"]
 
@@ -129,30 +145,125 @@ class _Silence(_JsonState):
             state.update(self.first())
         return out
 
+    def rest_of(self, state: dict) -> tuple:
+        return state["first"], state["last"], state["n"], state["sum_sq"]
+
     def rest(self, state: dict) -> tuple | None:
-        return (state["first"], state["last"], state["n"], state["sum_sq"], True) if state["n"] else None
+        return (*self.rest_of(state), True) if state["n"] else None
+
+
+class _TimedSilence(_Silence):
+    """Gives closed segments only: the last buffer of a clip is flushed by a timer, once the watermark has passed the clip's last window by a pause."""
+
+    columns = ["clip_id", "first", "last", "n", "sum_sq", "late"]
+
+    def __init__(self, p: SpeechParams, rate: float, pause_ms: int):
+        super().__init__(p, rate)
+        self.pause_ms = pause_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def first(self) -> dict:
+        return super().first() | {"seen": 0}
+
+    def row(self, state: dict, r) -> tuple | None:
+        seen = max(state["seen"], int(r.ts_ms))
+        out = super().row(state, r)
+        state["seen"] = seen
+        return out
+
+    def late(self, r) -> tuple | None:
+        return int(r.window_no), int(r.window_no), int(r.n), float(r.sum_sq), True
+
+    def rest(self, state: dict) -> tuple | None:
+        return None
+
+    def settle(self, state: dict) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if state["n"]:
+            self.handle.registerTimer(state["seen"] + self.pause_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = json.loads(self.state.get()[0])
+        out = [(key[0], *self.rest_of(state), False)] if state["n"] else []
+        # the place is kept: a window that comes after the flush begins a segment, one from before it is late
+        self.state.update((json.dumps(state | self.first()),))
+        yield pd.DataFrame(out, columns=self.columns)
 
-def stream_silence_segments(windows: DataFrame, p: SpeechParams | None = None, rate: float = 16_000) -> DataFrame:
-    """clip_id, first, last, n, sum_sq, open; a row with open true is the buffer after a micro-batch, flushed if the clip ends there."""
-    return windows.select("clip_id", "window_no", "n", "sum_sq").groupBy("clip_id").transformWithStateInPandas(
-        statefulProcessor=_Silence(p or SpeechParams(), rate), outputStructType="clip_id long, first long, last long, n long, sum_sq double, open boolean", outputMode="Append", timeMode="None"
+
+def stream_silence_segments(windows: DataFrame, p: SpeechParams | None = None, rate: float = 16_000, event_time: str | None = None, delay: str = "10 seconds", pause_sec: float = 5.0) -> DataFrame:
+    """clip_id, first, last, n, sum_sq and a flag, for windows (clip_id, window_no, n, sum_sq).
+
+    Without ``event_time`` the flag is open: such a row is the buffer after a micro-batch, flushed if the clip ends there.
+    With it, only closed segments come out: a clip's last one once the watermark (``delay`` behind the newest window of
+    any clip) is ``pause_sec`` past the clip's last window. The flag then is late: a window that came after a later one.
+    """
+    p = p or SpeechParams()
+    if event_time is None:
+        return windows.select("clip_id", "window_no", "n", "sum_sq").groupBy("clip_id").transformWithStateInPandas(
+            statefulProcessor=_Silence(p, rate), outputStructType="clip_id long, first long, last long, n long, sum_sq double, open boolean", outputMode="Append", timeMode="None"
+        )
+    timed = windows.withWatermark(event_time, delay).select("clip_id", "window_no", "n", "sum_sq", event_time, F.unix_millis(event_time).alias("ts_ms"))
+    return timed.groupBy("clip_id").transformWithStateInPandas(
+        statefulProcessor=_TimedSilence(p, rate, int(pause_sec * 1000)), outputStructType="clip_id long, first long, last long, n long, sum_sq double, late boolean", outputMode="Append", timeMode="EventTime"
     )
 
 
 def settled_segments(rows: DataFrame) -> DataFrame:
-    """clip_id, seg_no, first, last, n, sum_sq once the stream has ended: closed segments and each clip's last buffer."""
-    closed = rows.filter("not open")
-    ends = closed.groupBy("clip_id").agg(F.max("last").alias("closed_at"))
-    tail = rows.filter("open").groupBy("clip_id").agg(F.max_by(F.struct("first", "last", "n", "sum_sq"), "last").alias("t")).select("clip_id", "t.*")
-    tail = tail.join(ends, "clip_id", "left").filter("closed_at is null or last > closed_at").drop("closed_at")
-    every = closed.drop("open").unionByName(tail)
+    """clip_id, seg_no, first, last, n, sum_sq once the stream has ended: closed segments and, of the form without event time, each clip's last buffer."""
+    if "late" in rows.columns:
+        every = rows.filter("not late").drop("late")
+    else:
+        closed = rows.filter("not open")
+        ends = closed.groupBy("clip_id").agg(F.max("last").alias("closed_at"))
+        tail = rows.filter("open").groupBy("clip_id").agg(F.max_by(F.struct("first", "last", "n", "sum_sq"), "last").alias("t")).select("clip_id", "t.*")
+        every = closed.drop("open").unionByName(tail.join(ends, "clip_id", "left").filter("closed_at is null or last > closed_at").drop("closed_at"))
     return every.withColumn("seg_no", (F.row_number().over(Window.partitionBy("clip_id").orderBy("last")) - 1).cast("long"))
 
 
-def stream_line_union(lines: DataFrame, event_time: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """First sight of each line of a lesson while frames arrive. With ``event_time`` the memory of a line ends with the watermark."""
-    keyed = lines.withColumn("key", casefold_key(F.col("line"))).filter("key <> ''")
-    if event_time is None:
-        return keyed.dropDuplicates(["lesson_id", "key"])
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["lesson_id", "key"])
+class _FirstPlace(StatefulProcessor):
+    """Keeps the smallest place of a line of a lesson; a row comes out whenever it falls."""
+
+    def __init__(self, memory: timedelta | None):
+        self.memory = memory
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        more = {} if self.memory is None else {"ttlDurationMs": int(self.memory.total_seconds() * 1000)}
+        self.state = handle.getValueState("place", "frame_index long, line_no long, seen long", **more)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = None
+        for part in rows:
+            r = part.sort_values(["frame_index", "line_no"]).iloc[0]
+            here = (int(r.frame_index), int(r.line_no), r.line)
+            best = here if best is None or here[:2] < best[:2] else best
+        held = self.state.get() if self.state.exists() else None
+        if held is None or best[:2] < (held[0], held[1]):
+            version = 0 if held is None else held[2] + 1
+            self.state.update((best[0], best[1], version))
+            yield pd.DataFrame([(*key, *best, version)], columns=["lesson_id", "key", "frame_index", "line_no", "line", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_line_union(lines: DataFrame, memory: timedelta | None = None) -> DataFrame:
+    """lesson_id, key, frame_index, line_no, line, version: each line of a lesson at its smallest place so far, while frames arrive.
+
+    A line's first sight has version 0; each later row of it is a correction, as an earlier place came in. State is one
+    place a line; with ``memory`` it is forgotten after so long without a change (a line seen again then starts anew).
+    Such a stream goes by the clock, so run it with a processing-time trigger: with availableNow it doesn't end.
+    """
+    keyed = lines.withColumn("line", trimmed(F.col("line"))).withColumn("key", casefold_key(F.col("line"))).filter("key <> ''")
+    kind = keyed.schema["lesson_id"].dataType.simpleString()
+    return keyed.select("lesson_id", "key", "frame_index", "line_no", "line").groupBy("lesson_id", "key").transformWithStateInPandas(
+        statefulProcessor=_FirstPlace(memory), outputStructType=f"lesson_id {kind}, key string, frame_index long, line_no long, line string, version long", outputMode="Append", timeMode="None" if memory is None else "ProcessingTime"
+    )
+
+
+def settled_lines(rows: DataFrame) -> DataFrame:
+    """lesson_id, frame_index, line_no, line once the stream has ended: the last correction of each line."""
+    return rows.groupBy("lesson_id", "key").agg(F.min_by(F.struct("frame_index", "line_no", "line"), F.struct("frame_index", "line_no")).alias("l")).select("lesson_id", "l.*")

@@ -43,4 +43,4 @@ def test_line_union(spark, tmp_path):
     rows = [("a", i, 0, f"Line {i % 7}" if i % 2 else f"line {i % 7} ") for i in range(40)]
     df = base.board(spark, rows)
     out = drain(stateful.stream_line_union(as_stream(spark, df, str(tmp_path / "in"), "frame_index")), "lines_out", tmp_path)
-    assert out.count() == 7 and {r.key for r in out.collect()} == {f"line {i}" for i in range(7)}
+    assert {r.key for r in out.collect()} == {f"line {i}" for i in range(7)} and stateful.settled_lines(out).count() == 7
