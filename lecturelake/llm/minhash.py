@@ -39,7 +39,7 @@ def links(docs: DataFrame, maps: DataFrame, params: MinHashParams) -> DataFrame:
     """id, component of all documents that link with another; ``docs`` (doc_id, text) has one document for each different set."""
     least = -(-params.num // (params.den - params.num)) if params.num < params.den else 2**62  # smaller sets link with equal ones only
     buckets = shared_bands(docs, SketchParams(params.words, params.rows, params.bands, params.chunk_bytes, least))
-    return near_join.settled(docs, maps, buckets, params, [by_prefixes, near_join.crowd_bands])
+    return near_join.settled(docs, maps, buckets, params, [(by_prefixes, True), (near_join.crowd_bands, False)])
 
 
 def by_prefixes(docs: DataFrame, members: DataFrame, params: MinHashParams) -> DataFrame:
