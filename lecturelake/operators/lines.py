@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lecturelake.functions import text as T
+from lecturelake.operators.ordered import joined_chunks, numbered
 from lecturelake.params import LineParams
 from lecturelake.storage import bounded, written
 
@@ -25,7 +25,8 @@ def line_union(lines: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
 
 
 def rank_within_lesson(rows: DataFrame, order: tuple[str, ...] = ORDER, name: str = "ordinal") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("lesson_id").orderBy(*order)) - 1)
+    """Numbers the rows of each lesson from 0; ranges of rows are numbered side by side, so that no task sorts a lesson."""
+    return numbered(rows, order, name)
 
 
 def noise_line_filter(lines: DataFrame, p: LineParams | None = None, count: Column | None = None) -> DataFrame:
@@ -102,10 +103,23 @@ def paragraph_join(lines: DataFrame, order: tuple[str, ...] = ORDER, by: str = "
     return lines.groupBy("lesson_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), by).alias("paragraph"))
 
 
+def _spoken(segments: DataFrame) -> DataFrame:
+    return segments.withColumn("line", T.trimmed(F.coalesce("text", F.lit("")))).filter("line <> ''")
+
+
+def paragraph_chunks(lines: DataFrame, size: int = 1_000_000, order: tuple[str, ...] = ORDER, by: str = "\n") -> DataFrame:
+    """lesson_id, chunk_no, text: what ``paragraph_join`` gives, in rows of ``size`` characters, for lessons of any length."""
+    return joined_chunks(lines, order, by, size)
+
+
+def transcript_chunks(segments: DataFrame, size: int = 1_000_000) -> DataFrame:
+    """lesson_id, chunk_no, text: what ``transcript_join`` gives, in rows of ``size`` characters."""
+    return joined_chunks(_spoken(segments), ("start_sec", "seg_no"), " ", size)
+
+
 def transcript_join(segments: DataFrame) -> DataFrame:
     """lesson_id, transcript: the non-blank texts of a lesson's segments (lesson_id, start_sec, seg_no, text) in order."""
-    kept = segments.withColumn("line", T.trimmed(F.coalesce("text", F.lit("")))).filter("line <> ''")
-    joined = paragraph_join(kept, ("start_sec", "seg_no"), " ")
+    joined = paragraph_join(_spoken(segments), ("start_sec", "seg_no"), " ")
     return joined.select("lesson_id", T.trimmed(F.col("paragraph")).alias("transcript"))
 
 

@@ -73,6 +73,27 @@ def transcript_join(t):
     return lines.transcript_join(speech(t))
 
 
+CHUNK = 5000
+
+
+def chunks_sql(table: str, text: str) -> str:
+    return f"SELECT lesson_id, u.k AS chunk_no, length(substr({text}, u.k * {CHUNK} + 1, {CHUNK})) AS chars, md5(substr({text}, u.k * {CHUNK} + 1, {CHUNK})) AS digest FROM {table}, unnest(range(0, greatest(1, (length({text}) + {CHUNK} - 1) // {CHUNK}))) AS u(k)"
+
+
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("lesson_id", "chunk_no", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query("paragraph_chunks", f"WITH {UNION}, {BOARDS} {chunks_sql('boards', 'paragraph')}")
+def paragraph_chunks(t):
+    return chunk_digests(lines.paragraph_chunks(merged(t), CHUNK))
+
+
+@query("transcript_chunks", f"WITH {SPEECH} {chunks_sql('transcripts', 'transcript')}")
+def transcript_chunks(t):
+    return chunk_digests(lines.transcript_chunks(speech(t), CHUNK))
+
+
 @query("rank_within_lesson", f"WITH {UNION} SELECT lesson_id, frame_index, line_no, row_number() OVER (PARTITION BY lesson_id ORDER BY frame_index, line_no) - 1 AS ordinal FROM merged")
 def rank_within_lesson(t):
     return lines.rank_within_lesson(merged(t)).select(*PLACE, F.col("ordinal").cast("long").alias("ordinal"))

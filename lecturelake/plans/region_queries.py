@@ -10,6 +10,8 @@ from lecturelake.functions.text import useful_char_count
 from lecturelake.operators import assemble, models, regions
 from lecturelake.plans.bindings import AREA, BOXES, Tables, boxes
 from lecturelake.plans.registry import query
+from lecturelake.sources import sinks
+from lecturelake.storage import shared_folder
 
 COLS = ("frame_key", "ord", "x1", "y1", "x2", "y2")
 
@@ -213,12 +215,22 @@ def lesson_assemble(t):
 
 @query("sink_lesson_json", f"""WITH {ASSEMBLED} SELECT lesson_id, '{{"lesson_id":' || lesson_id || ',"name":"' || name || '"' || coalesce(',"orders":' || orders, '') || coalesce(',"first_open":' || first_open, '') || '}}' AS document FROM assembled""")
 def sink_lesson_json(t):
-    return assemble.lesson_json(assembled(t))
+    """Lessons in two batches, of which the second is cut off once and then repeated twice; what was written is read again."""
+    path, lessons = shared_folder(t.spark, "lessons"), assembled(t)
+    even, odd = lessons.filter("lesson_id % 2 = 0"), lessons.filter("lesson_id % 2 <> 0")
+    assemble.sink_lesson_json(even, path, 0)
+    sinks.write_attempt(assemble.lesson_json(odd.filter("lesson_id % 3 = 0")), path, 1)
+    for _ in range(2):
+        assemble.sink_lesson_json(odd, path, 1)
+    return sinks.latest(sinks.read_batches(t.spark, path)).select(F.col("lesson_id").cast("long").alias("lesson_id"), "document")
 
 
 @query("sink_keyframe_metadata", "SELECT CAST(label AS BIGINT) AS lesson_id, count(*) AS keyframes, string_agg(vec_id || ':' || (vec_id * 37) % 101, ',' ORDER BY vec_id) AS listed FROM embeddings GROUP BY 1")
 def sink_keyframe_metadata(t):
     k = t.embeddings.select(F.col("label").cast("long").alias("lesson_id"), F.col("vec_id").alias("frame_index"), ((F.col("vec_id") * 37) % 101).alias("score"))
-    m = assemble.keyframe_metadata(k)
+    path = shared_folder(t.spark, "keyframes")
+    assemble.sink_keyframe_metadata(k, path)
+    kind = "struct<lesson_id:bigint,keyframes:array<struct<frame_index:bigint,score:bigint>>>"
+    m = sinks.read_batches(t.spark, path).select(F.from_json("document", kind).alias("m")).select("m.*")
     listed = F.array_join(F.transform("keyframes", lambda x: F.concat_ws(":", x["frame_index"].cast("string"), x["score"].cast("string"))), ",")
     return m.select("lesson_id", F.size("keyframes").cast("long").alias("keyframes"), listed.alias("listed"))
