@@ -5,8 +5,8 @@ the rules that fit, the longest wins. Pages that no rule fits get their host's v
 spreads trust from hosts with allowed pages along links, and distrust from hosts with blocked pages against
 them, both by joins over one pre-aggregated table of host edges. Edges are the absolute links in the pages'
 HTML and the bonds between a host and each domain that it is under, down to two labels, so that hosts of one
-domain share it even where it has no pages itself. Ranks are spread until they converge, however long the
-chains of links are. A host is blocked where its distrust exceeds its trust by a factor.
+domain share it even where it has no pages itself. Ranks are spread until nothing that is still on its way
+could turn a verdict, however long the chains of links are, or until they converge. A host is blocked where its distrust exceeds its trust by a factor.
 
 A relative link stays on its host, and links of a host to itself say nothing about another one, so only
 absolute and ``//`` links are edges.
@@ -20,12 +20,13 @@ name; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lecturelake.llm._spark import hinted, materialize, read_table, table_columns
+from lecturelake.llm._spark import discard, hinted, materialize, read_table, table_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -35,12 +36,12 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 class UrlParams:
     rules: tuple[tuple[str, str], ...] = RULES
     damping: float = 0.85
-    rounds: int = 8
+    rounds: int = 6
     """Rounds between two tests of convergence."""
     edges_a_part: int = 100_000
     """Host edges that one task passes ranks along."""
     tolerance: float = 1e-9
-    """Ranks are spread until all that they still lack is below this."""
+    """Ranks are spread until all that they still lack is below this, or can turn no verdict."""
     factor: float = 2.0
     """A host is blocked where distrust > factor * trust."""
     floor: float = 1e-9
@@ -96,36 +97,95 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams) -> DataFrame:
+def _with_itself(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """kind, host, dst, share: the edges, and for each host one row to itself without a share, which carries what it has."""
+    ends = edges.select("kind", F.explode(F.array("src", "dst")).alias("host"))
+    hosts = ends.unionByName(seeds.select("kind", "host")).distinct()
+    return edges.withColumnRenamed("src", "host").select("kind", "host", "dst", "share").unionByName(hosts.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share")))
+
+
+def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams, still_open: Callable[[DataFrame, dict[str, float]], tuple[int, int]] | None = None) -> DataFrame:
     """PageRank with restarts in the seeds (kind, host, seed), for each kind by itself. edges: kind, src, dst, share of src's weight.
 
-    A round leaves at most ``damping`` of the summed change of the one before, so what ranks still lack is below the
-    tolerance once the change of ``rounds`` rounds is, and surely after log(tolerance / mass) / log(damping) rounds.
+    A host has a rank and something left to pass on. In a round it adds a part of what is left to its rank and passes the
+    rest along its edges, so that ranks only grow and lack at most the sum of what is left, which shrinks by ``damping``
+    a round at least. Rounds end where it is below the tolerance, or where no new host is reached and ``still_open``
+    (ranks, most that is left by kind -> ranks so far, verdicts that it could turn) finds none.
     """
     if not 0 <= params.damping < 1:
         raise ValueError(f"ranks don't converge with a damping of {params.damping}")
-    mass = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    edges = materialize(_with_itself(edges, seeds), "host-passes")
     parts = max(1, -(-edges.count() // params.edges_a_part))
     # hosts stay where their edges are: a graph of one part needs no shuffle at all in a round
-    placed = (lambda df: df.coalesce(1)) if parts == 1 else (lambda df: df.repartition(parts, "kind", "host"))
-    out_of = placed(edges.withColumnRenamed("src", "host"))
-    rank, left = seeds.select("kind", "host", F.col("seed").alias("rank")), 2 * mass
-    back = seeds.select("kind", "host", (F.col("seed") * (1 - params.damping)).alias("rank"))
-    while left > params.tolerance:
-        before = rank
+    if parts == 1:
+        placed, keys = (lambda df: df.coalesce(1)), ["kind", "host"]
+        out_of, dealt = placed(edges), placed
+    else:
+        # the edges of a hub are dealt over several parts, and its row goes to each of them
+        hubs = edges.groupBy("kind", "host").count().filter(F.col("count") > params.edges_a_part)
+        hubs = hinted(materialize(hubs.select("kind", "host", F.ceil(F.col("count") / params.edges_a_part).cast("int").alias("pieces")), "host-hubs"))
+        keys, one = ["kind", "host", "piece"], F.coalesce("pieces", F.lit(1))
+        placed = lambda df: df.repartition(parts, *keys)
+        out_of = placed(edges.join(hubs, ["kind", "host"], "left").withColumn("piece", F.pmod(F.xxhash64("dst"), one).cast("int")).drop("pieces"))
+        dealt = lambda df: placed(df.join(hubs, ["kind", "host"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("pieces"))
+    own, reached = F.col("share").isNull(), 0
+    left = {r["kind"]: r["mass"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("mass")).collect()}  # a row for each kind
+    state = seeds.select("kind", "host", F.lit(0.0).alias("rank"), F.col("seed").cast("double").alias("left"))
+    before_is_ours = False
+    while True:
+        before = state
         for _ in range(params.rounds):
-            passed = out_of.join(placed(rank).hint("shuffle_hash"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * params.damping).alias("rank"))
-            rank = placed(passed.unionByName(back)).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        rank = materialize(rank, "host-rank")
-        left *= params.damping**params.rounds
-        changes = placed(rank.unionByName(before.withColumn("rank", -F.col("rank")))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change"))
-        if changes.agg(F.sum("change")).first()[0] <= params.tolerance:
-            break
-    return rank
-
-
-def host_verdicts(pages: DataFrame, params: UrlParams) -> DataFrame:
-    """host, trust, distrust, blocked for every host with any score. pages: host, html, by_rule (allow, block or null)."""
+            passed = out_of.join(dealt(state).hint("shuffle_hash"), keys).select(
+                "kind",
+                F.col("dst").alias("host"),
+                F.when(own, F.col("rank") + F.col("left") * (1 - params.damping)).otherwise(0.0).alias("rank"),
+                F.when(own, 0.0).otherwise(F.col("left") * F.col("share") * params.damping).alias("left"),
+            )
+            state = (placed(passed) if parts == 1 else passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left"))
+        state = materialize(state, "host-rank")
+        if before_is_ours:
+            discard(before)
+        before_is_ours = True
+        left = {kind: most * params.damping**params.rounds for kind, most in left.items()}
+        if sum(left.values()) <= params.tolerance:
+            return state.select("kind", "host", "rank")
+        if still_open:
+            hosts, turning = still_open(state, left)
+            if hosts == reached and not turning:
+                return state.select("kind", "host", "rank")
+            reached = hosts
+
+
+def _scores(rank: DataFrame) -> DataFrame:
+    """host, trust, distrust, and whether each was reached (good, bad)."""
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+    has = lambda kind: F.max(F.col("kind") == kind)
+    return rank.groupBy("host").agg(of("good").alias("trust"), of("bad").alias("distrust"), has("good").alias("good"), has("bad").alias("bad"))
+
+
+def _blocked(params: UrlParams, trust: Column, distrust: Column) -> Column:
+    return (distrust > params.factor * trust) & (distrust > params.floor)
+
+
+def verdicts_open(params: UrlParams) -> Callable[[DataFrame, dict[str, float]], tuple[int, int]]:
+    """Counts ranks so far, and the hosts whose verdict could turn by what is left if no new host is reached."""
+
+    def count(rank: DataFrame, left: dict[str, float]) -> tuple[int, int]:
+        # ranks only grow, by what is left at most; a host that nothing leads to gets nothing
+        more = lambda kind: F.when(F.col(kind), left.get(kind, 0.0)).otherwise(0.0)
+        sure = _blocked(params, F.col("trust") + more("good"), F.col("distrust"))
+        never = ~_blocked(params, F.col("trust"), F.col("distrust") + more("bad"))
+        found = _scores(rank).agg(F.sum(F.col("good").cast("long") + F.col("bad").cast("long")), F.count_if(~(sure | never))).first()
+        return found[0] or 0, found[1]
+
+    return count
+
+
+def host_verdicts(pages: DataFrame, params: UrlParams, converged: bool = True) -> DataFrame:
+    """host, trust, distrust, blocked for every host with any score. pages: host, html, by_rule (allow, block or null).
+
+    Without ``converged``, scores are followed until no verdict can turn any more.
+    """
     edges = materialize(host_edges(pages), "host-edges")
     counts = materialize(pages.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad")).filter("good + bad > 0"), "host-seeds")
 
@@ -137,10 +197,8 @@ def host_verdicts(pages: DataFrame, params: UrlParams) -> DataFrame:
         return counts.filter(F.col(kind) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(kind) / (F.col("good") + F.col("bad"))).alias("seed"))
 
     both = materialize(shares("src", "dst", "good").unionByName(shares("dst", "src", "bad")), "host-shares")
-    rank = personalised(both, materialize(seeds("good").unionByName(seeds("bad")), "host-kinds"), params)
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
-    scores = rank.groupBy("host").agg(of("good").alias("trust"), of("bad").alias("distrust"))
-    return scores.withColumn("blocked", (F.col("distrust") > params.factor * F.col("trust")) & (F.col("distrust") > params.floor))
+    rank = personalised(both, materialize(seeds("good").unionByName(seeds("bad")), "host-kinds"), params, None if converged else verdicts_open(params))
+    return _scores(rank).select("host", "trust", "distrust", _blocked(params, F.col("trust"), F.col("distrust")).alias("blocked"))
 
 
 def url_verdicts(pages: DataFrame, params: UrlParams | None = None) -> DataFrame:
@@ -148,7 +206,7 @@ def url_verdicts(pages: DataFrame, params: UrlParams | None = None) -> DataFrame
     params = params or UrlParams()
     named = table_columns(pages, "page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), params.rules)).withColumn("by_rule", verdict_of(F.col("rule"), params.rules))
-    blocked = materialize(host_verdicts(ruled.select("host", "html", "by_rule"), params).filter("blocked").select("host", F.lit("block").alias("by_host")), "hosts-blocked")
+    blocked = materialize(host_verdicts(ruled.select("host", "html", "by_rule"), params, converged=False).filter("blocked").select("host", F.lit("block").alias("by_host")), "hosts-blocked")
     return ruled.join(hinted(blocked), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
 
 
