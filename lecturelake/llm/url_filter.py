@@ -36,8 +36,10 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 class UrlParams:
     rules: tuple[tuple[str, str], ...] = RULES
     damping: float = 0.85
-    rounds: int = 6
-    """Rounds between two tests of convergence."""
+    rounds: int = 3
+    """Rounds that one task goes through before ranks are written: each holds three hash tables of its own until the task ends."""
+    blocks: int = 4
+    """Times that ranks are written between two looks at the verdicts."""
     edges_a_part: int = 100_000
     """Host edges that one task passes ranks along."""
     tolerance: float = 1e-9
@@ -131,7 +133,7 @@ def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams, still_op
     own, reached = F.col("share").isNull(), 0
     left = {r["kind"]: r["mass"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("mass")).collect()}  # a row for each kind
     state = seeds.select("kind", "host", F.lit(0.0).alias("rank"), F.col("seed").cast("double").alias("left"))
-    before_is_ours = False
+    blocks = 0
     while True:
         before = state
         for _ in range(params.rounds):
@@ -143,13 +145,13 @@ def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams, still_op
             )
             state = (placed(passed) if parts == 1 else passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left"))
         state = materialize(state, "host-rank")
-        if before_is_ours:
+        if blocks:
             discard(before)
-        before_is_ours = True
+        blocks += 1
         left = {kind: most * params.damping**params.rounds for kind, most in left.items()}
         if sum(left.values()) <= params.tolerance:
             return state.select("kind", "host", "rank")
-        if still_open:
+        if still_open and blocks % params.blocks == 0:
             hosts, turning = still_open(state, left)
             if hosts == reached and not turning:
                 return state.select("kind", "host", "rank")
