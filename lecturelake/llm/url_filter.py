@@ -37,7 +37,7 @@ class UrlParams:
     rules: tuple[tuple[str, str], ...] = RULES
     damping: float = 0.85
     rounds: int = 3
-    """Rounds that one task goes through before ranks are written: each holds three hash tables of its own until the task ends."""
+    """Rounds of one plan; ranks are written after them."""
     blocks: int = 4
     """Times that ranks are written between two looks at the verdicts."""
     edges_a_part: int = 100_000
@@ -118,18 +118,18 @@ def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams, still_op
         raise ValueError(f"ranks don't converge with a damping of {params.damping}")
     edges = materialize(_with_itself(edges, seeds), "host-passes")
     parts = max(1, -(-edges.count() // params.edges_a_part))
-    # hosts stay where their edges are: a graph of one part needs no shuffle at all in a round
-    if parts == 1:
-        placed, keys = (lambda df: df.coalesce(1)), ["kind", "host"]
-        out_of, dealt = placed(edges), placed
-    else:
+    # hosts stay where their edges are, so a round is one shuffle of sums; each round ends its tasks, and with them their memory
+    hubs = materialize(edges.groupBy("kind", "host").count().filter(F.col("count") > params.edges_a_part).select("kind", "host", F.ceil(F.col("count") / params.edges_a_part).cast("int").alias("pieces")), "host-hubs")
+    split = not hubs.isEmpty()
+    keys = ["kind", "host", "piece"] if split else ["kind", "host"]
+    placed = lambda df: df.repartition(parts, *keys)
+    if split:
         # the edges of a hub are dealt over several parts, and its row goes to each of them
-        hubs = edges.groupBy("kind", "host").count().filter(F.col("count") > params.edges_a_part)
-        hubs = hinted(materialize(hubs.select("kind", "host", F.ceil(F.col("count") / params.edges_a_part).cast("int").alias("pieces")), "host-hubs"))
-        keys, one = ["kind", "host", "piece"], F.coalesce("pieces", F.lit(1))
-        placed = lambda df: df.repartition(parts, *keys)
+        hubs, one = hinted(hubs), F.coalesce("pieces", F.lit(1))
         out_of = placed(edges.join(hubs, ["kind", "host"], "left").withColumn("piece", F.pmod(F.xxhash64("dst"), one).cast("int")).drop("pieces"))
         dealt = lambda df: placed(df.join(hubs, ["kind", "host"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("pieces"))
+    else:
+        out_of, dealt = placed(edges), placed
     own, reached = F.col("share").isNull(), 0
     left = {r["kind"]: r["mass"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("mass")).collect()}  # a row for each kind
     state = seeds.select("kind", "host", F.lit(0.0).alias("rank"), F.col("seed").cast("double").alias("left"))
@@ -143,7 +143,7 @@ def personalised(edges: DataFrame, seeds: DataFrame, params: UrlParams, still_op
                 F.when(own, F.col("rank") + F.col("left") * (1 - params.damping)).otherwise(0.0).alias("rank"),
                 F.when(own, 0.0).otherwise(F.col("left") * F.col("share") * params.damping).alias("left"),
             )
-            state = (placed(passed) if parts == 1 else passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left"))
+            state = passed.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left"))
         state = materialize(state, "host-rank")
         if blocks:
             discard(before)
