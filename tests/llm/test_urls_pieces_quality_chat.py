@@ -1,6 +1,7 @@
 import dataclasses
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -78,6 +79,16 @@ def test_trust_and_distrust_match_a_plain_walk(spark):
     assert all((got[i] == "block") == (h in blocked) for i, h in ((2, "b.net"), (3, "c.net"), (5, "evil.net"), (13, "lone.net"), (14, "www.shop.evil.net"), (15, "shop.evil.net")))
 
 
+def test_hubs_that_are_split_keep_their_ranks(spark):
+    pairs = [("hub.net", f"h{i}.net") for i in range(12)] + [(f"h{i}.net", "hub.net") for i in range(12)] + [("h1.net", "h2.net")]
+    out = Counter(a for a, _ in pairs)
+    edges = spark.createDataFrame([("good", a, b, 1 / out[a]) for a, b in pairs], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("good", "h1.net", 1.0), ("good", "alone.net", 0.5)], "kind string, host string, seed double")
+    whole, split = ({r.host: r["rank"] for r in url_filter.personalised(edges, seeds, url_filter.UrlParams(tolerance=1e-3, edges_a_part=n)).collect()} for n in (100, 4))
+    assert whole.keys() == split.keys() and all(abs(whole[h] - split[h]) < 1e-12 for h in whole)
+    assert abs(sum(whole.values()) - 1.075) < 2e-3 and abs(whole["alone.net"] - 0.075) < 1e-3
+
+
 def test_bonds_reach_every_domain_above_and_link_siblings(spark):
     urls = ["http://www.bad.com/de/1", "http://bad.com/", "http://shop.bad.com/", "http://x.y.bad.com/", "http://good.com/fr/", "http://www.good.com/", "http://other.com/", "http://1.2.3.4/", "http://9.2.3.4:80/", "http://a..com/", "http://b.bad.com./"]
     got = {u: r.verdict for r in url_filter.url_verdicts(pages_frame(spark, [(i, u, None) for i, u in enumerate(urls)]), url_filter.UrlParams(tolerance=1e-2)).collect() for u in [urls[r.page_id]]}
