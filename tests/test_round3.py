@@ -3,8 +3,9 @@
 import random
 
 from base_rows import recorded
+from pyspark.sql import functions as F
 
-from lecturelake.operators import lines
+from lecturelake.operators import assemble, lines
 
 
 def board(spark, texts):
@@ -28,3 +29,16 @@ def test_short_and_long_lines_are_found_in_longer_ones(spark):
     keys = [t.lower().replace("ß", "ss") for t in texts]
     keep = {i for i, k in enumerate(keys) if not (len(k) >= 8 and any(len(o) > len(k) and k in o for o in keys))}
     assert {x.frame_index for x in lines.substring_dedupe(board(spark, texts)).collect()} == keep
+
+
+def test_report_of_rows_equals_that_of_arrays(spark):
+    kind = "lesson_id string, board_lines array<string>, transcript string, clarity string, score string, suggestion string, laplacian_variance string, stroke_width_variance string, similarity string, overlap string, verdict string, errors map<string,string>"
+    more = ("fair", "1", "x", "2", "3", "0.1", "0.2")
+    whole = spark.createDataFrame([("a", [f"line {i}" for i in range(130)], "word " * 1000, *more, "v", {"m": "no"}), ("b", None, None, None, *more[1:], None, None), ("c", [], "", *more, "v", {})], kind)
+    from lecturelake.functions.text import text_chunks
+
+    board = whole.selectExpr("lesson_id", "posexplode(board_lines) as (ordinal, line)")
+    speech = whole.select("lesson_id", F.posexplode(text_chunks(F.col("transcript"))).alias("ordinal", "text"))
+    rows = {tuple(r) for r in assemble.report_lines(whole).collect()}
+    assert rows == {tuple(r) for r in assemble.report_lines(whole.drop("board_lines", "transcript"), board, speech).collect()}
+    assert sorted(r[1] for r in rows if r[0] == "a") == list(range(1 + 1 + 130 + 1 + 3 + 1 + 56 + 1 + 3 + 2)) and ("b", 2, 1, 751.89, 10, "(no text recognized)") in rows
