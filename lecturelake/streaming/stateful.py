@@ -24,8 +24,17 @@ from lecturelake.operators.frames import keep_step, new_keyframe_state
 from lecturelake.params import KeyframeParams, SpeechParams
 
 
+#: Keys are dealt over so many buckets by a hash, and a bucket's states are one value, so that a micro-batch calls Python and the store once a bucket and not once a key.
+BUCKETS = 1024
+
+
+def _bucketed(rows: DataFrame, *names: str, buckets: int = BUCKETS) -> DataFrame:
+    """Adds bucket, and state_key: the key columns as one text."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")).withColumn("state_key", F.col(names[0]).cast("string"))
+
+
 class _JsonState(StatefulProcessor):
-    """Keeps a small dictionary a key; subclasses give its first value and what a row does to it."""
+    """Keeps a small dictionary a key, those of a bucket together; subclasses give its first value and what a row does to it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "body string")
@@ -50,26 +59,30 @@ class _JsonState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
-        state = json.loads(held[0]) if held else {**self.first(), "at": None}
+        states = json.loads(held[0]) if held else {}
         out = []
-        for r in pd.concat(list(rows)).sort_values(self.position).itertuples(index=False):
-            at = int(getattr(r, self.position))
-            if state["at"] is not None and at <= state["at"]:
-                made = self.late(r)
-            else:
-                state["at"] = at
-                made = self.row(state, r)
-            if made is not None:
-                out.append((key[0], *made))
-        rest = self.rest(state)
-        if rest is not None:
-            out.append((key[0], *rest))
-        self.state.update((json.dumps(state),))
-        self.settle(state)
+        many = pd.concat(list(rows)).sort_values(self.position, kind="stable")
+        for name, mine in many.groupby(many["state_key"].fillna(""), sort=False):
+            name, number = str(name), int(name) if name != "" else None
+            state = states.setdefault(name, {**self.first(), "at": None})
+            for r in mine.itertuples(index=False):
+                at = int(getattr(r, self.position))
+                if state["at"] is not None and at <= state["at"]:
+                    made = self.late(r)
+                else:
+                    state["at"] = at
+                    made = self.row(state, r)
+                if made is not None:
+                    out.append((number, *made))
+            rest = self.rest(state)
+            if rest is not None:
+                out.append((number, *rest))
+        self.state.update((json.dumps(states),))
+        self.settle(states)
         yield pd.DataFrame(out, columns=self.columns)
 
-    def settle(self, state: dict) -> None:
-        """Called when a micro-batch of a key is done."""
+    def settle(self, states: dict) -> None:
+        """Called when a micro-batch of a bucket is done."""
 
     def close(self) -> None:
         pass
@@ -97,7 +110,7 @@ class _Keyframes(_JsonState):
 
 def stream_keyframes(frames: DataFrame, p: KeyframeParams | None = None) -> DataFrame:
     """lesson_id, frame_index, change, kept, late: kept frames, the best frame so far (kept false) of a lesson that kept none, and each frame that came after a later one of its lesson (late)."""
-    return frames.select("lesson_id", "frame_index", "score", "signature").groupBy("lesson_id").transformWithStateInPandas(
+    return _bucketed(frames, "lesson_id").select("bucket", "state_key", "frame_index", "score", "signature").groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Keyframes(p or KeyframeParams()), outputStructType="lesson_id long, frame_index long, change double, kept boolean, late boolean", outputMode="Append", timeMode="None"
     )
 
@@ -180,17 +193,24 @@ class _TimedSilence(_Silence):
     def rest(self, state: dict) -> tuple | None:
         return None
 
-    def settle(self, state: dict) -> None:
+    def settle(self, states: dict) -> None:
+        """One timer a bucket, for the clip that is due first."""
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if state["n"]:
-            self.handle.registerTimer(state["seen"] + self.pause_ms)
+        due = [state["seen"] + self.pause_ms for state in states.values() if state["n"]]
+        if due:
+            self.handle.registerTimer(min(due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = json.loads(self.state.get()[0])
-        out = [(key[0], *self.rest_of(state), False)] if state["n"] else []
-        # the place is kept: a window that comes after the flush begins a segment, one from before it is late
-        self.state.update((json.dumps(state | self.first()),))
+        states, out = json.loads(self.state.get()[0]), []
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for name, state in states.items():
+            if state["n"] and state["seen"] + self.pause_ms <= now:
+                out.append((int(name) if name else None, *self.rest_of(state), False))
+                # the place is kept: a window that comes after the flush begins a segment, one from before it is late
+                state.update(self.first())
+        self.state.update((json.dumps(states),))
+        self.settle(states)
         yield pd.DataFrame(out, columns=self.columns)
 
 
@@ -203,11 +223,11 @@ def stream_silence_segments(windows: DataFrame, p: SpeechParams | None = None, r
     """
     p = p or SpeechParams()
     if event_time is None:
-        return windows.select("clip_id", "window_no", "n", "sum_sq").groupBy("clip_id").transformWithStateInPandas(
+        return _bucketed(windows, "clip_id").select("bucket", "state_key", "window_no", "n", "sum_sq").groupBy("bucket").transformWithStateInPandas(
             statefulProcessor=_Silence(p, rate), outputStructType="clip_id long, first long, last long, n long, sum_sq double, open boolean", outputMode="Append", timeMode="None"
         )
-    timed = windows.withWatermark(event_time, delay).select("clip_id", "window_no", "n", "sum_sq", event_time, F.unix_millis(event_time).alias("ts_ms"))
-    return timed.groupBy("clip_id").transformWithStateInPandas(
+    timed = _bucketed(windows.withWatermark(event_time, delay), "clip_id").select("bucket", "state_key", "window_no", "n", "sum_sq", event_time, F.unix_millis(event_time).alias("ts_ms"))
+    return timed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_TimedSilence(p, rate, int(pause_sec * 1000)), outputStructType="clip_id long, first long, last long, n long, sum_sq double, late boolean", outputMode="Append", timeMode="EventTime"
     )
 
@@ -225,41 +245,57 @@ def settled_segments(rows: DataFrame) -> DataFrame:
 
 
 class _FirstPlace(StatefulProcessor):
-    """Keeps the smallest place of a line of a lesson; a row comes out whenever it falls."""
+    """Keeps the smallest place of each line of a bucket; a row comes out whenever it falls."""
 
     def __init__(self, memory: timedelta | None):
-        self.memory = memory
+        self.memory = None if memory is None else int(memory.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        more = {} if self.memory is None else {"ttlDurationMs": int(self.memory.total_seconds() * 1000)}
-        self.state = handle.getValueState("place", "frame_index long, line_no long, seen long", **more)
+        more = {} if self.memory is None else {"ttlDurationMs": self.memory}
+        self.state = handle.getValueState("places", "body string", **more)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = None
-        for part in rows:
-            r = part.sort_values(["frame_index", "line_no"]).iloc[0]
-            here = (int(r.frame_index), int(r.line_no), r.line)
-            best = here if best is None or here[:2] < best[:2] else best
         held = self.state.get() if self.state.exists() else None
-        if held is None or best[:2] < (held[0], held[1]):
-            version = 0 if held is None else held[2] + 1
-            self.state.update((best[0], best[1], version))
-            yield pd.DataFrame([(*key, *best, version)], columns=["lesson_id", "key", "frame_index", "line_no", "line", "version"])
+        now = 0 if self.memory is None else timerValues.getCurrentProcessingTimeInMs()
+        # a line's place, its version, and when it changed
+        places = {(x[0], x[1]): x[2:] for x in json.loads(held[0])} if held else {}
+        if self.memory is not None:
+            places = {k: v for k, v in places.items() if v[3] + self.memory > now}
+        out, parts = [], None
+        for part in rows:
+            part = part if parts is None else pd.concat([parts, part])
+            parts = part.sort_values(["frame_index", "line_no"], kind="stable").drop_duplicates(["state_key", "key"])
+        for r in parts.itertuples(index=False):
+            here, name = (int(r.frame_index), int(r.line_no)), (None if pd.isna(r.state_key) else r.state_key, r.key)
+            was = places.get(name)
+            if was is None or here < (was[0], was[1]):
+                version = 0 if was is None else was[2] + 1
+                places[name] = [*here, version, now]
+                out.append((r.lesson_id, r.key, *here, r.line, version))
+        if out:
+            self.state.update((json.dumps([[*k, *v] for k, v in places.items()]),))
+            yield pd.DataFrame(out, columns=["lesson_id", "key", "frame_index", "line_no", "line", "version"])
 
     def close(self) -> None:
         pass
 
 
-def stream_line_union(lines: DataFrame, memory: timedelta | None = None) -> DataFrame:
+#: Buckets of lines, of which there are more than there are lessons or clips.
+LINE_BUCKETS = 4096
+
+
+def stream_line_union(lines: DataFrame, memory: timedelta | None = None, buckets: int = LINE_BUCKETS) -> DataFrame:
     """lesson_id, key, frame_index, line_no, line, version: each line of a lesson at its smallest place so far, while frames arrive.
 
     A line's first sight has version 0; each later row of it is a correction, as an earlier place came in. State is one
-    place a line; with ``memory`` it is forgotten after so long without a change (a line seen again then starts anew).
+    place a line, those of a bucket together (``buckets`` can't change between runs of one stream); with ``memory`` a line
+    is forgotten after so long without a change (one seen again then starts anew).
     Such a stream goes by the clock, so run it with a processing-time trigger: with availableNow it doesn't end.
     """
     keyed = lines.withColumn("line", trimmed(F.col("line"))).withColumn("key", casefold_key(F.col("line"))).filter("key <> ''")
     kind = keyed.schema["lesson_id"].dataType.simpleString()
-    return keyed.select("lesson_id", "key", "frame_index", "line_no", "line").groupBy("lesson_id", "key").transformWithStateInPandas(
+    dealt = _bucketed(keyed, "lesson_id", "key", buckets=buckets).select("bucket", "state_key", "lesson_id", "key", "frame_index", "line_no", "line")
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_FirstPlace(memory), outputStructType=f"lesson_id {kind}, key string, frame_index long, line_no long, line string, version long", outputMode="Append", timeMode="None" if memory is None else "ProcessingTime"
     )
 

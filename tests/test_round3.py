@@ -6,6 +6,7 @@ from base_rows import recorded
 from pyspark.sql import functions as F
 
 from lecturelake.operators import assemble, lines
+from lecturelake.streaming import stateful
 
 
 def board(spark, texts):
@@ -42,3 +43,16 @@ def test_report_of_rows_equals_that_of_arrays(spark):
     rows = {tuple(r) for r in assemble.report_lines(whole).collect()}
     assert rows == {tuple(r) for r in assemble.report_lines(whole.drop("board_lines", "transcript"), board, speech).collect()}
     assert sorted(r[1] for r in rows if r[0] == "a") == list(range(1 + 1 + 130 + 1 + 3 + 1 + 56 + 1 + 3 + 2)) and ("b", 2, 1, 751.89, 10, "(no text recognized)") in rows
+
+
+def test_streams_call_python_once_a_bucket(spark, tmp_path):
+    rows = [("a", i, 0, f"Line {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "lesson_id string, frame_index long, line_no long, line string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = stateful.stream_line_union(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), buckets=16)
+    out = str(tmp_path / "out")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert stateful.settled_lines(spark.read.parquet(out)).count() == 3000
+    # a state a bucket, not a state a line
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 16
