@@ -55,14 +55,23 @@ def bigram_model(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return counts, before, counts.agg(F.count_distinct("word").alias("v"))
 
 
+#: Rows of a pair of words and two counts that may be broadcast.
+MODEL_ROWS = 500_000
+
+
 def paragraph_perplexity(texts: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """key, perplexity: exp of the mean negative log-likelihood of a text's words, with one added to every count.
 
-    A text without words has an infinite one. Pairs are counted per text before they meet the model, in which
-    each pair has its row's count and that of its first word.
+    A text without words has an infinite one. A model of up to ``MODEL_ROWS`` pairs goes to the texts, so that no word of
+    theirs is shuffled; with a larger one pairs are counted per text before they meet it.
     """
     counts, before, size = bigram_model(corpus)
-    mine = _bigrams(texts, key).groupBy(key, "before", "word").agg(F.count("*").alias("n"))
+    counts, before = written(counts, "bigrams"), written(before, "bigram-heads")
+    mine = _bigrams(texts, key)
+    if counts.count() <= MODEL_ROWS:
+        counts, before, mine = F.broadcast(counts), F.broadcast(before), mine.withColumn("n", F.lit(1))
+    else:
+        mine = mine.groupBy(key, "before", "word").agg(F.count("*").alias("n"))
     p = (F.coalesce("pair_n", F.lit(0)) + 1) / (F.coalesce("before_n", F.lit(0)) + size.scalar())
     scored = mine.join(counts, ["before", "word"], "left").join(before, "before", "left")
     each = scored.groupBy(key).agg(F.exp(F.sum(-F.log(p) * F.col("n")) / F.sum("n")).alias("perplexity"))

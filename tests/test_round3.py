@@ -5,7 +5,7 @@ import random
 from base_rows import recorded
 from pyspark.sql import functions as F
 
-from lecturelake.operators import assemble, lines
+from lecturelake.operators import assemble, lines, models
 from lecturelake.streaming import stateful
 
 
@@ -56,3 +56,12 @@ def test_streams_call_python_once_a_bucket(spark, tmp_path):
     assert stateful.settled_lines(spark.read.parquet(out)).count() == 3000
     # a state a bucket, not a state a line
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 16
+
+
+def test_words_stay_where_they_are_with_a_small_model(spark):
+    texts = spark.createDataFrame([(1, "a b a b"), (2, "c"), (3, "")], "doc_id long, text string")
+    scored = models.paragraph_perplexity(texts, texts.limit(2), "doc_id")
+    assert "hashpartitioning(before" not in scored._jdf.queryExecution().toString() and "word#" in scored._jdf.queryExecution().toString()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "word" in x]
+    assert scored.filter("perplexity = double('inf')").count() == 1
