@@ -6,6 +6,8 @@ from base_rows import recorded
 from pyspark.sql import functions as F
 
 from lecturelake.operators import assemble, lines, models
+from lecturelake.plans import frame_queries
+from lecturelake.sources import media
 from lecturelake.streaming import stateful
 
 
@@ -65,3 +67,10 @@ def test_words_stay_where_they_are_with_a_small_model(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "word" in x]
     assert scored.filter("perplexity = double('inf')").count() == 1
+
+
+def test_packed_dumps_are_few_files(spark):
+    rows = spark.range(200).selectExpr("id as video_id", "concat('packet,', id, '.5,K__') as value")
+    folder = frame_queries.dumped(rows, "dump")
+    assert len(spark.read.option("recursiveFileLookup", True).text(folder).inputFiles()) <= 8
+    assert {(int(r.video_id), r.ts) for r in media.scan_probe_csv(spark, folder).collect()} == {(i, i + 0.5) for i in range(200)}
