@@ -39,12 +39,13 @@ def links(docs: DataFrame, maps: DataFrame, params: MinHashParams) -> DataFrame:
     """id, component of all documents that link with another; ``docs`` (doc_id, text) has one document for each different set."""
     least = -(-params.num // (params.den - params.num)) if params.num < params.den else 2**62  # smaller sets link with equal ones only
     buckets = shared_bands(docs, SketchParams(params.words, params.rows, params.bands, params.chunk_bytes, least))
+    buckets = buckets.select("sig", "doc", "n", F.lit(0).alias("rare"), F.lit(False).alias("many"))
     return near_join.settled(docs, maps, buckets, params, [(by_prefixes, True), (near_join.crowd_bands, False)])
 
 
-def by_prefixes(docs: DataFrame, members: DataFrame, params: MinHashParams) -> DataFrame:
+def by_prefixes(docs: DataFrame, params: MinHashParams) -> DataFrame:
     """Entries of rare tokens and of combinations of the documents of crowded buckets."""
-    return near_join.live_entries(docs, params)
+    return near_join.live_entries(docs.select("doc_id", "text"), params).join(docs.select(F.col("doc_id").alias("doc"), "component"), "doc")
 
 
 def near_groups(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
