@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lecturelake.functions import numeric as N
-from lecturelake.functions.text import alignment_prompt, line_filter_prompt, refined_line
+from lecturelake.functions.text import alignment_prompt, line_filter_prompt, refined_lines
 from lecturelake.params import LineParams
 
 
@@ -52,7 +52,7 @@ def apply_kept_indices(lines: DataFrame, answers: DataFrame, p: LineParams | Non
     )
     marked = sent.join(state, "lesson_id", "left").join(kept.withColumn("hit", F.lit(True)), ["lesson_id", "line_index"], "left")
     stay = ~F.col("sent") | F.col("error").isNotNull() | F.col("is_list").isNull() | F.col("hit").isNotNull()
-    return marked.filter(stay).select("lesson_id", "line_index", refined_line(F.col("line"), p.ascii_only, p.drop_singletons).alias("line"), "error").filter("line <> ''")
+    return marked.filter(stay).select("lesson_id", "line_index", F.explode(refined_lines(F.col("line"), p.ascii_only, p.drop_singletons)).alias("line"), "error")
 
 
 def build_alignment_prompt(pairs: DataFrame) -> DataFrame:
