@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HEADER_BYTES = 1 << 16
 """Chunks in front of the samples are looked for in so many bytes; a file that holds more in front is read on in as many again."""
 READ_BYTES = 1 << 22
+BATCH_ROWS = 10_000
+"""Windows of several clips that leave a task together, at least."""
 
 SCHEMA = "clip_id string, window_no long, n long, sum_sq double"
 
@@ -102,6 +104,15 @@ def packed(files: list[tuple[str, int]], part_bytes: int) -> list[_Ranges]:
     return out
 
 
+def dealt(parts: list[_Ranges], tasks: int, task_bytes: int = 64 << 20) -> list[_Ranges]:
+    """Neighbouring parts put together for so many tasks, or for as many more as keep each within ``task_bytes``; every range stays as it was cut."""
+    if len(parts) <= tasks:
+        return parts
+    total = sum(high - low for p in parts for _, low, high in p.ranges)
+    tasks = min(len(parts), max(tasks, -(-total // task_bytes)))
+    return [_Ranges([r for p in parts[k * len(parts) // tasks : (k + 1) * len(parts) // tasks] for r in p.ranges]) for k in range(tasks)]
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system of a path or address, and the path in it."""
     if "://" in path:
@@ -114,23 +125,37 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.rate, self.window_sec = int(options.get("rate", 16_000)), float(options.get("windowsec", 0.1))
         self.part_bytes = int(options.get("partbytes", 64 << 20))
+        self.tasks = int(options.get("tasks", 64))
 
     def partitions(self) -> list[_Ranges]:
         system, path = file_system(self.path)
         found = system.get_file_info(path)
         files = [found] if found.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
-        return packed(sorted((f.path, f.size) for f in files if f.is_file and f.path.lower().endswith(".wav")), self.part_bytes)
+        return dealt(packed(sorted((f.path, f.size) for f in files if f.is_file and f.path.lower().endswith(".wav")), self.part_bytes), self.tasks)
 
     def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
+        held, rows = [], 0  # windows of short clips go out together
         for path, low, high in partition.ranges:
             with system.open_input_file(path) as file:
                 for no, n, sums in window_sums(file, path, self.rate, self.window_sec, low, high):
-                    yield pa.record_batch([pa.array([path] * len(no), pa.string()), pa.array(no, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["clip_id", "window_no", "n", "sum_sq"])
+                    held.append((path, no, n, sums))
+                    rows += len(no)
+                    if rows >= BATCH_ROWS:
+                        yield _batch(held)
+                        held, rows = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _batch(held: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    clips = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(held), dtype=np.int32), [len(h[1]) for h in held]), pa.array([h[0] for h in held], pa.string())).dictionary_decode()
+    no, n, sums = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+    return pa.record_batch([clips, pa.array(no, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["clip_id", "window_no", "n", "sum_sq"])
 
 
 class PcmWindows(DataSource):
-    """Options: path (a file or folder), rate, windowSec, partBytes (samples that a task reads)."""
+    """Options: path (a file or folder), rate, windowSec, partBytes (samples that a part holds), tasks (that parts are dealt over, where there are more; a task reads 64 MB at most then, or one part)."""
 
     @classmethod
     def name(cls) -> str:

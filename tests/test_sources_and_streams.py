@@ -173,3 +173,17 @@ def test_a_memory_of_lines_that_ends(spark, tmp_path):
     out = str(tmp_path / "out")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(once=True).start().awaitTermination(60)
     assert stateful.settled_lines(spark.read.parquet(out)).count() == 3
+
+
+def test_small_parts_share_tasks(spark, tmp_path):
+    for k in range(60):
+        wav(tmp_path / f"{k:02d}.wav", list(range(k, k + 30)))
+    files = [(f"{k}.wav", 104) for k in range(600)]
+    parts = pcm.packed(files, 50)
+    some = pcm.dealt(parts, 64)
+    assert len(parts) > 1000 and len(some) == 64 and [r for p in some for r in p.ranges] == [r for p in parts for r in p.ranges]
+    assert len(pcm.dealt(parts, 64, 500)) == -(-600 * 104 // 500) and pcm.dealt(parts[:3], 64) == parts[:3]
+    found = media.scan_pcm_windows(spark, str(tmp_path), 0.01, 800, 7)
+    assert found.rdd.getNumPartitions() == 64
+    want = {(f"{k:02d}.wav", w): len(range(k, k + 30)[w * 8 : w * 8 + 8]) for k in range(60) for w in range(4)}
+    assert {(r.clip_id.rsplit("/", 1)[1], r.window_no): r.n for r in found.collect()} == want
