@@ -2,8 +2,9 @@
 
 ``build_index`` stores the postings of every token of the corpus once, by document shards: a row of the index
 holds some documents, their distinct tokens in order, and each token's sorted positions. Any number of
-searches read it. The windows of the test items are made and counted in Spark, and reach the shards in blocks
-of a bounded size, one broadcast each, however long the benchmark is. A search walks each shard's posting
+searches read it; where one block of windows is all there is to search for, each task searches the shards that it
+has just built, which then aren't stored. The windows of the test items are made and counted in Spark, and reach
+the shards in blocks of a bounded size, one broadcast each, however long the benchmark is. A search walks each shard's posting
 lists: a phrase starts with its rarest term, whose positions minus the term's offset are the candidate
 starts, and every further list, shifted by its own offset, is intersected with them. With ``slack`` > 0 the
 same walk gives proximity matches, where every term lies within ``slack`` tokens of its place in the phrase.
@@ -19,7 +20,7 @@ than those named may have any name; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,8 +49,11 @@ INDEX = "doc_ids array<long>, keys array<long>, n_words array<int>, terms array<
 HITS = "doc_id long, key long, n_words long, runs array<int>, items array<string>"
 
 
-def build_index(docs: DataFrame, params: PhraseParams) -> DataFrame:
-    """Posting lists of every word of every document."""
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _indexer(params: PhraseParams) -> Batches:
+    """From batches of doc_id, text, key to rows of the index."""
     limit, gap = params.shard_bytes, params.gap
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +71,16 @@ def build_index(docs: DataFrame, params: PhraseParams) -> DataFrame:
             columns = [list_array(x, np.array([0, len(x)]), t) for x, t in zip(lists[1:], kinds[1:], strict=True)]
             yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *columns], names=["doc_ids", "keys", "n_words", "terms", "ends", "positions"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", content_key(F.col("text")).alias("key")).mapInArrow(index, INDEX)
+    return index
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", content_key(F.col("text")).alias("key"))
+
+
+def build_index(docs: DataFrame, params: PhraseParams) -> DataFrame:
+    """Posting lists of every word of every document."""
+    return _texts(docs).mapInArrow(_indexer(params), INDEX)
 
 
 def item_windows(benchmark: DataFrame, params: PhraseParams) -> DataFrame:
@@ -110,9 +123,9 @@ def _near(values: np.ndarray, places: np.ndarray, slack: int) -> np.ndarray:
     return ok
 
 
-def search(index: DataFrame, block: Block, params: PhraseParams) -> DataFrame:
-    """Hits of some windows in the index: for each document its covered token runs (start, end, start, ...) and items."""
-    shared = index.sparkSession.sparkContext.broadcast(block)  # block_windows windows, about
+def _searcher(spark: SparkSession, block: Block, params: PhraseParams) -> Batches:
+    """From rows of the index to hits."""
+    shared = spark.sparkContext.broadcast(block)  # block_windows windows, about
     slack, gap = params.slack, params.gap
     if params.window + slack >= gap:
         raise ValueError(f"a window of {params.window} words with a slack of {slack} needs an index with a gap over {params.window + slack}")
@@ -165,7 +178,18 @@ def search(index: DataFrame, block: Block, params: PhraseParams) -> DataFrame:
                         items.append([])
                 yield pa.record_batch([doc_ids, keys, pa.array(n_words.astype(np.int64)), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "runs", "items"])
 
-    return index.mapInArrow(walk, HITS)
+    return walk
+
+
+def search(index: DataFrame, block: Block, params: PhraseParams) -> DataFrame:
+    """Hits of some windows in the index: for each document its covered token runs (start, end, start, ...) and items."""
+    return index.mapInArrow(_searcher(index.sparkSession, block, params), HITS)
+
+
+def search_once(docs: DataFrame, block: Block, params: PhraseParams) -> DataFrame:
+    """The same for an index that is read once: each shard is searched by the task that has built it, and isn't stored."""
+    index, walk = _indexer(params), _searcher(docs.sparkSession, block, params)
+    return _texts(docs).mapInArrow(lambda batches: walk(index(batches)), HITS)
 
 
 def _joined_runs(parts: DataFrame, blocks: int) -> DataFrame:
@@ -194,12 +218,20 @@ def _joined_runs(parts: DataFrame, blocks: int) -> DataFrame:
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, params: PhraseParams | None = None) -> DataFrame:
     """doc_id, key, n_words, runs (covered token spans, flat) and items (ids as strings, sorted) of every document."""
     params = params or PhraseParams()
-    return search_all(materialize(build_index(docs, params), "positions"), item_windows(benchmark, params), params)
+    windows = item_windows(benchmark, params)
+    blocks = _blocks(windows)
+    if len(blocks) == 1:
+        return search_once(docs, _block(windows, params.window), params)
+    return search_all(materialize(build_index(docs, params), "positions"), windows, params)
+
+
+def _blocks(windows: DataFrame) -> list[int]:
+    return [r.block for r in windows.select("block").distinct().orderBy("block").collect()] or [0]
 
 
 def search_all(index: DataFrame, windows: DataFrame, params: PhraseParams) -> DataFrame:
     """Hits of all windows, block by block, in an index that is there already."""
-    blocks = [r.block for r in windows.select("block").distinct().orderBy("block").collect()] or [0]
+    blocks = _blocks(windows)
     found = None
     for block in blocks:
         part = search(index, _block(windows.filter(F.col("block") == block), params.window), params)

@@ -132,3 +132,14 @@ def test_rows_are_told_apart_without_doc_ids(spark):
     docs = frame([(None, "one two bad", "x", 1), (1, "bad", "x", 2), (1, "clean", "x", 3), (None, "fine", "x", 4), (2, None, "x", 5)])
     items = spark.createDataFrame([(1, "bad")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.drop_contaminated(docs, items).collect()) == [(0, "fine"), (1, "clean"), (2, "")]
+
+
+def test_one_block_of_windows_is_searched_where_the_index_is_built(spark, monkeypatch):
+    stored, write = [], decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name, *more: stored.append(name) or write(df, name, *more))
+    docs = [(i, f"a{i} the words of item {i % 7} stand here in order x y z {i}") for i in range(60)] + [(60, None), (61, "")]
+    items = [(k, f"the words of item {k} stand here in order x y") for k in range(3)]
+    made = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    found = {b: sorted((r.doc_id, r.n_words, r.runs, r.items) for r in decontaminate.phrase_matches(*made, decontaminate.PhraseParams(shard_bytes=200, block_windows=b)).collect()) for b in (1, 200_000)}
+    assert found[1] == found[200_000] and sum(bool(x[3]) for x in found[1]) == 27
+    assert stored.count("positions") == 1
