@@ -4,7 +4,8 @@ Texts are cut into marked words: each space becomes the mark U+2581, one mark is
 and a new word starts wherever a mark follows another character. No piece of the vocabulary has a mark
 inside, so no piece spans two words. The distinct words of a batch are sorted, which lays them out as a
 trie in depth-first order, and are decoded left to right: a prefix that a word shares with the one before
-keeps its forward states, only the rest is computed.
+keeps its forward states, only the rest is computed. Beside the distinct words of a batch a worker holds the words
+and ids of a small part of it only, of a long text too.
 
 The vocabulary at hand is a byte-pair one: its scores are merge ranks, and the path with the best sum of
 them isn't what the tokenizer gives. The forward step therefore ranks a path by whether it is the merge
@@ -35,10 +36,25 @@ from lecturelake.llm._spark import chunks, list_array, read_table
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS = 400_000
-"""Words (and pairs of pieces) that a Python worker remembers between batches before it starts anew."""
+CACHED_WORDS = 150_000
+"""Words that a Python worker remembers between batches before it starts anew from those of the batch at hand (some 30 MB)."""
+CACHED_PAIRS = 400_000
+"""Pairs of pieces that it remembers before it starts anew (some 50 MB)."""
+SPAN = 250_000
+"""Bytes of short texts that are encoded at a time, characters of a long one, and ids that are decoded at a time."""
 NONE = -1
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_SEAM = re.compile(f"(?<=[^{MARK}]){MARK}")
+
+
+def _spans(text: str | None) -> Iterator[str]:
+    """A text with its marks, cut where words meet: at the first such place after every ``SPAN`` characters."""
+    marked, start = MARK + text.replace(" ", MARK) if text else "", 0
+    while start < len(marked):
+        seam = _SEAM.search(marked, start + SPAN)
+        end = seam.start() if seam else len(marked)
+        yield marked[start:end]
+        start = end
 
 
 @dataclass
@@ -104,7 +120,7 @@ class Vocabulary:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > CACHED_WORDS:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             a, b = self.names[left], self.names[right]
             known = self.pairs[key] = self.merged(a + b) == [a, b]
@@ -180,42 +196,62 @@ class Vocabulary:
                 end = starts[end]
             self.words[word] = self.emit(parts[::-1])
 
+    def learn(self, words: set[str]) -> None:
+        """Fills ``self.words`` for the given words, and forgets others where they get too many."""
+        new = words.difference(self.words)
+        if new and len(self.words) + len(new) > CACHED_WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        self.encode_words(sorted(new))
+
+    def learn_texts(self, texts: Iterator[str | None]) -> None:
+        """The words of some texts at once: sorted together, they share more of their prefixes."""
+        words: set[str] = set()
+        for text in texts:
+            for span in _spans(text):
+                words.update(_WORD.findall(span))
+        self.learn(words)
+
+    def packed(self, span: str) -> bytes:
+        """Ids of a marked span as packed 32-bit numbers."""
+        words = _WORD.findall(span)
+        self.learn(set(words))
+        return b"".join(map(self.words.__getitem__, words))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their offsets."""
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut) - self.words.keys() if cut else set()
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = set().union(*cut)
-        self.encode_words(sorted(new))
-        packed = [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        packed = [b"".join(map(self.packed, _spans(t))) for t in texts]
         offsets = np.cumsum([0] + [len(x) // 4 for x in packed])
         return np.frombuffer(b"".join(packed), np.int32), offsets
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of some ids: pieces end to end, without the space in front that encoding added."""
-        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        spans = (ids[i : i + SPAN] for i in range(0, len(ids), SPAN))
+        joined = (b"".join(map(self.texts.__getitem__, x.tolist() if isinstance(x, np.ndarray) else x)) for x in spans)
+        return b"".join(joined).decode("utf-8", "replace").removeprefix(" ")
 
 
 def _remembered(shared) -> Vocabulary:
     return shared.value  # one object a Python worker, so that words are remembered between its tasks
 
 
-def encode(docs: DataFrame, model: str = MODEL, batch_bytes: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, batch_bytes: int = 2_000_000) -> DataFrame:
     """doc_id, n_ids, ids, round_trip (whether decoding gives the text back) for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))  # a vocabulary file of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _remembered(shared)
-        for part in chunks(batches, "text", batch_bytes):
-            texts = part.column(1).to_pylist()
-            ids, offsets = vocabulary.encode(texts)
-            pieces, spans = ids.tolist(), offsets.tolist()
-            same = [None if t is None else vocabulary.decode(pieces[a:b]) == t for t, a, b in zip(texts, spans, spans[1:], strict=False)]
-            null = np.array([t is None for t in texts] + [False])
-            marked = pa.array(np.where(null, 0, offsets).astype(np.int32), mask=null) if null.any() else pa.array(offsets.astype(np.int32))
-            lists = pa.ListArray.from_arrays(marked, pa.array(ids)) if null.any() else list_array(ids, offsets, pa.int32())
-            yield pa.record_batch([part.column(0), pa.array(np.diff(offsets)), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
+        for batch in chunks(batches, "text", batch_bytes):
+            if batch.num_rows > 1:
+                vocabulary.learn_texts(t.as_py() for t in batch.column(1))
+            for part in chunks(iter([batch]), "text", SPAN):
+                texts = part.column(1).to_pylist()
+                ids, offsets = vocabulary.encode(texts)
+                spans = offsets.tolist()
+                same = [None if t is None else vocabulary.decode(ids[a:b]) == t for t, a, b in zip(texts, spans, spans[1:], strict=False)]
+                null = np.array([t is None for t in texts] + [False])
+                marked = pa.array(np.where(null, 0, offsets).astype(np.int32), mask=null) if null.any() else pa.array(offsets.astype(np.int32))
+                lists = pa.ListArray.from_arrays(marked, pa.array(ids)) if null.any() else list_array(ids, offsets, pa.int32())
+                yield pa.record_batch([part.column(0), pa.array(np.diff(offsets)), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 

@@ -241,3 +241,32 @@ def test_long_runs_of_spaces_merge_as_the_tokenizer_does():
     texts = [" " * n + "end" for n in (1, 2, 3, 7, 17, 100, 2001)] + ["a" + " " * 60_000 + "b" + " " * 5]
     ids, offsets = own.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [theirs.encode(t) for t in texts]
+
+
+def test_encoding_holds_a_small_part_of_a_batch_and_of_a_long_text():
+    import tracemalloc
+
+    own, r = pieces.Vocabulary.read(), random.Random(5)
+    words = ["".join(r.choice("abeinrst") for _ in range(5)) for _ in range(500)]
+    short = [" ".join(r.choices(words, k=200)) for _ in range(2000)]
+    own.encode([" ".join(words)])
+    for texts in (short, [" ".join(short)]):
+        tracemalloc.start()
+        ids, offsets = own.encode(texts)
+        assert [own.decode(ids[a:b]) for a, b in zip(offsets, offsets[1:])] == texts
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 15 * sum(map(len, texts))
+
+
+def test_spans_and_forgotten_words_change_no_ids(monkeypatch):
+    own, theirs, r = pieces.Vocabulary.read(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), random.Random(6)
+    monkeypatch.setattr(pieces, "SPAN", 7)
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 5)
+    monkeypatch.setattr(pieces, "CACHED_PAIRS", 5)
+    texts = ["".join(r.choice("aabeeththin   \nzq.,'漢é01😀▁") for _ in range(n)) for n in range(120)] + [None, "", " " * 30, "x" * 40]
+    own.learn_texts(texts[:60])
+    ids, offsets = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [theirs.encode(t or "") for t in texts]
+    for t, a, b in zip(texts, offsets, offsets[1:]):
+        assert own.decode(ids[a:b]) == own.decode(ids[a:b].tolist()) == (t or "").replace("▁", " ")
