@@ -53,9 +53,9 @@ def test_sets_that_link_share_a_signature(num, den):
                 b, more = c, more + 1
             sets += [a, b]
         off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        sig, of = near_join.token_bands(np.concatenate([np.array(sorted(s), np.uint64) for s in sets]), off, params)
+        sig, of, own = near_join.token_bands(np.concatenate([np.array(sorted(s), np.uint64) for s in sets]), off, params)
         for i in range(0, len(sets), 2):
-            assert sets[i] == sets[i + 1] or set(sig[of == i].tolist()) & set(sig[of == i + 1].tolist())
+            assert sets[i] == sets[i + 1] or set(sig[of == i].tolist()) & set(sig[of == i + 1].tolist()) & set(sig[own].tolist())
         assert num < den or not len(sig)
 
 
